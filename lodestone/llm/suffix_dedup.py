@@ -10,9 +10,10 @@ text; it is removed if an equal window starts earlier.
 3. What is left are units of repeated anchors whose contents differ. Their suffixes are range-partitioned by the
    tokens at their anchor under the same splitters; each bucket is sorted by multikey quicksort, eight bytes a
    character, and neighbours are compared over all ``LENGTH`` bytes.
-4. Boundaries. Equal suffixes always meet in one bucket: where a splitter's anchor fills more than one bucket (a hot
-   passage), its suffixes are dealt on by their content, and the comparison across the boundary that is then needed,
-   whether the anchor repeats on the other side, is answered by the splitters themselves.
+4. Boundaries. A splitter is a whole token string, so equal suffixes always meet in one bucket and no run of equal
+   neighbours crosses a boundary. Anchors that the sample shows in many texts (a hot passage) would fill a bucket: their
+   units and suffixes are dealt over all buckets by their whole content instead. Whether such an anchor repeats in
+   another bucket, the one comparison that then crosses boundaries, is answered by the sample: it does.
 
 Equal units and equal suffixes are combined in each map task before every exchange, so a passage that stands in a third
 of all rows sends one row a task. The text is exchanged once, by id; all three passes over it read that exchange.
@@ -37,6 +38,8 @@ GRAM = LENGTH - SPAN + 1
 PIECE = 1 << 20
 #: Rows sampled for splitters, and anchors kept of each.
 SAMPLE_ROWS, SAMPLE_ANCHORS = 2000, 256
+#: An anchor in so many texts of the sample is hot.
+HOT_TEXTS = 12
 #: Sorts a null id after all others.
 LAST = (1 << 63) - 1
 _WHOLE, _FINE, _PLAIN = 1, 2, 0
@@ -115,11 +118,19 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return anchor, anchor - ((packed >> 8) & 63), anchor - ((packed >> 2) & 63), packed & 3
 
 
-def _bucket(splitters: np.ndarray, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Range bucket of each key; keys that equal a splitter are spread over the buckets that it bounds."""
-    lo = np.searchsorted(splitters, key, "left")
-    wide = np.searchsorted(splitters, key, "right") - lo
-    return (lo + (spread % (wide + 1).astype(U)).astype(np.int64)).astype(np.int32)
+class Splitters:
+    """Anchor hashes that cut the anchors into even ranges, and the hashes of hot anchors."""
+
+    def __init__(self, sample: np.ndarray, hot: np.ndarray, n: int):
+        self.n, self.hot = n, hot
+        self.edges = sample[np.arange(1, n) * len(sample) // n] if len(sample) else np.zeros(0, U)
+
+    def is_hot(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.hot)
+
+    def bucket(self, h: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """Range of the anchor; of a hot anchor, the bucket of its content."""
+        return np.where(self.is_hot(h), content % U(self.n), np.searchsorted(self.edges, h, "right").astype(U)).astype(np.int32)
 
 
 def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,26 +155,28 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return rows.repartition(n, "id").select("id", (F.row_number().over(by_id) - 1).alias("seq"), "text")
 
 
-def _splitters(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """``n - 1`` anchor hashes that cut a sample of all anchors into even parts."""
+def _splitters(docs: DataFrame, text_col: str, n: int) -> Splitters:
+    """Splitters for ``n`` buckets from the anchors of about SAMPLE_ROWS texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in tb.rows_of(batch.column(0)):
                 own = [u[3] for data, bounds, _, _ in pieces([row]) if (u := units_of(data, bounds))]
                 if own:
-                    own = np.concatenate(own)
-                    own = own[np.argsort(tb.mix(own + np.arange(len(own), dtype=U)))[:SAMPLE_ANCHORS]]
+                    own = np.unique(np.concatenate(own))
+                    # the same anchors are kept of every text that has them
+                    own = own[np.argsort(tb.mix(own))[:SAMPLE_ANCHORS]]
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
 
     texts = docs.select(text_col)
     share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
     sample = texts if share == 1 else texts.sample(False, share, 7)
     h = np.sort(np.array([r.h for r in sample.mapInArrow(run, "h long").collect()], np.int64).view(U))
-    return h[np.arange(1, n) * len(h) // n] if len(h) else np.zeros(0, U)
+    found, times = np.unique(h, return_counts=True)
+    return Splitters(h, found[times >= HOT_TEXTS], n)
 
 
-def _repeated_units(texts: DataFrame, splitters: np.ndarray, n: int) -> DataFrame:
+def _repeated_units(texts: DataFrame, splitters: Splitters, n: int) -> DataFrame:
     """(id, seq, packed): every unit whose anchor stands elsewhere too, marked whole (removed), fine (to be compared) or plain."""
     to_list = "bucket int, id long, seq int, packed long, blob binary"
     names = ["bucket", "id", "seq", "packed", "blob"]
@@ -177,7 +190,7 @@ def _repeated_units(texts: DataFrame, splitters: np.ndarray, n: int) -> DataFram
             order, new = _first_of(tb.mix(h) ^ unit)
             first, rest = order[new], order[~new]
             again = np.append(~new[1:], False)[new].astype(np.uint8)
-            blobs = list(_by_bucket(_bucket(splitters, h[first], unit[first]), lambda x: tb.pack(h[first[x]], unit[first[x]], ids[first[x]], seqs[first[x]], packed[first[x]], again[x])))
+            blobs = list(_by_bucket(splitters.bucket(h[first], unit[first]), lambda x: tb.pack(h[first[x]], unit[first[x]], ids[first[x]], seqs[first[x]], packed[first[x]], again[x])))
             yield rows(blobs, ids[rest], seqs[rest], packed[rest] | _WHOLE)
 
         for batch in batches:
@@ -212,7 +225,7 @@ def _repeated_units(texts: DataFrame, splitters: np.ndarray, n: int) -> DataFram
         h, unit, ids, seqs, packed, again = tb.unpack_all(blobs)
         del blobs
         order, new = _first_of(h)
-        several = ~(new & np.append(new[1:], True)) | (again[order] > 0) | np.isin(h[order], splitters)
+        several = ~(new & np.append(new[1:], True)) | (again[order] > 0) | splitters.is_hot(h[order])
         keep = order[several]
         h, unit, ids, seqs, packed = (x[keep] for x in (h, unit, ids, seqs, packed))
         order = np.lexsort((packed, seqs, ids, unit, h))
@@ -222,7 +235,7 @@ def _repeated_units(texts: DataFrame, splitters: np.ndarray, n: int) -> DataFram
         same = np.append(False, h[1:] == h[:-1])
         twin = same & np.append(False, unit[1:] == unit[:-1])
         group = np.cumsum(~same) - 1
-        varied = (np.bincount(group, ~twin) > 1)[group] | np.isin(h, splitters)
+        varied = (np.bincount(group, ~twin) > 1)[group] | splitters.is_hot(h)
         mark = np.where(twin, _WHOLE, np.where(varied, _FINE, _PLAIN))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seqs), pa.array(packed | mark)], names[1:4])
 
@@ -306,14 +319,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             held.clear()
             order, new = _first_of(key ^ tb.mix(h))
             first, rest = order[new], order[~new]
-            hot = np.isin(h[first], splitters)
 
             def send(x: np.ndarray) -> bytes:
                 own = first[x]
                 take = np.repeat(begin[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
                 return tb.pack(ids[own], seqs[own], at[own], size[own].astype(np.int32), text[take])
 
-            blobs = list(_by_bucket(_bucket(splitters, h[first], np.where(hot, key[first], U(0))), send))
+            blobs = list(_by_bucket(splitters.bucket(h[first], key[first]), send))
             yield ranges(blobs, ids[rest], seqs[rest], at[rest], at[rest] + size[rest])
 
         for batch in batches:
@@ -342,7 +354,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if not len(start):
                     continue
                 # the suffixes of a unit in one run; those of a hot anchor one by one
-                width = np.where(np.isin(h, splitters), end + 1 - start, 1)
+                width = np.where(splitters.is_hot(h), end + 1 - start, 1)
                 of = np.repeat(np.arange(len(start)), width)
                 step = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
                 a = start[of] + step
