@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder that is then set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        session = spark.sparkContext.applicationId
+        if session not in _OWN:
+            _OWN[session] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+            spark.sparkContext.setCheckpointDir(_OWN[session])
+        found = _OWN[session]
     return found.rstrip("/")
 
 
