@@ -28,8 +28,8 @@ from ..shared import materialize, shared_path
 
 #: Least payload that is deduplicated.
 LEAST = 1000
-#: Payload bytes of an archive file, captures of an index block.
-FILE_BYTES, BLOCK_LINES = 16 << 20, 512
+#: Most records of a file, captures of an index block.
+FILE_RECORDS, BLOCK_LINES = 4096, 512
 #: Copies of the table of repeated payloads that share the joining of one payload.
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
@@ -91,21 +91,28 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or the revisit record of a payload that the page ``refers_to`` has."""
-    digest = hashlib.sha1(payload).digest()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_identity(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url)}"]
-    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http; msgtype=response"]
+def _record(page_id: int | None, url: str, size: int, digest: bytes, payload: bytes, more: list[str]) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + payload
+    head = ["WARC/1.1", f"WARC-Record-ID: {_identity(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url)}"]
+    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http; msgtype=response", *more]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_identity(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def response(page_id: int | None, url: str, payload: bytes) -> bytes:
+    """A record with its payload."""
+    return _record(page_id, url, len(payload), hashlib.sha1(payload).digest(), payload, ["WARC-Type: response"])
+
+
+def revisit(page_id: int | None, url: str, size: int, digest: bytes, refers_to: int) -> bytes:
+    """A record of a payload that the page ``refers_to`` has: its size and digest only."""
+    profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    return _record(page_id, url, size, digest, b"", ["WARC-Type: revisit", profile, f"WARC-Refers-To: {_identity(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"])
+
+
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """WARC headers, HTTP headers and payload of a record."""
 
@@ -122,8 +129,8 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Writes column ``member`` of each row to files, in the order of its partition."""
-    rows.select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
+    """Writes column ``member`` of each row to files of at most FILE_RECORDS, in the order of its partition."""
+    rows.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -135,22 +142,29 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of LEAST bytes or more, that with the largest id is the response and the others revisit it; rows
     that repeat the largest id are responses too. Null ids revisit any other; if all are null, all are responses. Null texts
-    and URLs are empty.
+    and URLs are empty. Records are packed before the one exchange, by digest, that meets each with the largest id of its payload.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    sized = rows.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"))
-    files = -(-(sized.agg(F.sum("n")).first()[0] or 0) // FILE_BYTES)
-    last = sized.where(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1")
+    rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"))
+    last = rows.where(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1")
     spread = last.select("digest", "n", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    dealt = keyed.join(spread, ["digest", "n", "salt"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [gzip_member(response(*(c[i].as_py() for c in batch.columns[:3]))) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[3:], pa.array(out, pa.binary())], ["page_id", "url", "n", "digest", "member"])
+
+    def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [gzip_member(record(*(c[i].as_py() for c in batch.columns))) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["page_id", "url", "member"])
+            ids, urls, sizes, digests, others = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))
+            out = [m.as_py() if o is None else gzip_member(revisit(i, u, n, bytes.fromhex(d), o)) for i, u, n, d, m, o in zip(ids, urls, sizes, digests, batch.column(4), others, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    _write(dealt.mapInArrow(run, "page_id long, url string, member binary").repartition(max(1, files), F.xxhash64("page_id", "url")), path)
+    keyed = rows.mapInArrow(responses, "page_id long, url string, n int, digest string, member binary")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    other = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
+    dealt = keyed.join(spread, ["digest", "n", "salt"], "left").select("page_id", "url", "n", "digest", "member", other)
+    _write(dealt.mapInArrow(revisits, "member binary"), path)
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> None:
@@ -209,37 +223,46 @@ def index_entries(spark: SparkSession, index: str) -> DataFrame:
     return _files(spark, f"{index}/blocks").mapInArrow(run, _ENTRY)
 
 
-def read_captures(spark: SparkSession, archives: str, index: str) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every capture, read at the place its index line names.
+def read_archives(spark: SparkSession, archives: str) -> DataFrame:
+    """(file, at, size, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every record, files read from end to end.
 
     The payload of a revisit is null; its length and digest are those that its record states.
     """
-    places = index_entries(spark, index).groupBy("file").agg(F.collect_list(F.struct("at", "size")).alias("places"))
-    rows = _files(spark, archives).join(places, "file").select("content", "places")
+    schema = "file string, at long, size long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        def close(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            for content, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                content = memoryview(content.as_buffer())
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
-                for place in places:
-                    # MAX_WBITS + 16: gzip; a second, empty member may follow
-                    data = zlib.decompressobj(31).decompress(content[place["at"] : place["at"] + place["size"]])
+                for at, size, data in members(content.as_py()):
                     warc, http, payload = parse(data)
                     page, other = warc.get("x-page-id"), warc.get("x-refers-to-page-id")
                     full = warc["warc-type"] == "response"
                     digest = hashlib.sha1(payload).hexdigest() if full else base64.b32decode(warc["warc-payload-digest"][5:]).hex()
-                    out.append((page and int(page), warc["warc-target-uri"], payload if full else None, len(payload) if full else int(http["content-length"]), digest, warc["warc-type"], other and int(other)))
+                    out.append((file, at, size, page and int(page), warc["warc-target-uri"], payload if full else None, len(payload) if full else int(http["content-length"]), digest, warc["warc-type"], other and int(other)))
                     if len(out) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        yield close(out)
                         out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    yield close(out)
+
+    return _files(spark, archives).mapInArrow(run, schema)
 
-    schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return rows.mapInArrow(run, schema)
+
+def read_captures(spark: SparkSession, archives: str, index: str, payload: bool = True) -> DataFrame:
+    """The columns of ``read_archives`` for every index line, from the record that stands at the place it names.
+
+    For all captures at once, files are read from end to end and met with the index by place, so that only what is asked for is
+    exchanged: without ``payload`` no content is.
+    """
+    found = read_archives(spark, archives)
+    found = found if payload else found.drop("payload")
+    return index_entries(spark, index).select("file", "at", "size").join(found, ["file", "at", "size"])
 
 
 class CaptureIndex:
@@ -299,7 +322,7 @@ def capture_digest(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     archives, index = shared_path(spark, "archives"), shared_path(spark, "index")
     write_archives(pages, archives, id_col, url_col, text_col)
     write_index(spark, archives, index)
-    return read_captures(spark, archives, index).select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_captures(spark, archives, index, payload=False).select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

@@ -33,7 +33,7 @@ def expected(rows):
 
 
 def test_records_read_back(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 20)
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     rows = made()
     df = spark.createDataFrame(rows, PAGES)
