@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 
@@ -133,12 +134,10 @@ class Splitters:
         return np.where(self.is_hot(h), content % U(self.n), np.searchsorted(self.edges, h, "right").astype(U)).astype(np.int32)
 
 
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by keys, and in it where each run of equal keys starts."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, new
+def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by key, and in it where each run of equal keys starts."""
+    order = np.argsort(key, kind="stable")
+    return order, np.append(True, key[order][1:] != key[order][:-1])
 
 
 def _by_bucket(bucket: np.ndarray, send) -> Iterator[tuple[int, bytes]]:
@@ -148,11 +147,15 @@ def _by_bucket(bucket: np.ndarray, send) -> Iterator[tuple[int, bytes]]:
         yield int(bucket[part[0]]), send(part)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, seq, text): the texts by id in ``n`` partitions, rows of one id numbered in the order of their texts."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, n: int, carry: list[str]) -> DataFrame:
+    """(id, seq, text, _0, _1, …): the texts by id in ``n`` partitions, rows of one id numbered in the order of their texts, with the columns to carry.
+
+    All columns go through every pass, so that all passes read one exchange.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     by_id = Window.partitionBy("id").orderBy("text")
-    return rows.repartition(n, "id").select("id", (F.row_number().over(by_id) - 1).alias("seq"), "text")
+    carried = [f"_{k}" for k in range(len(carry))]
+    return rows.repartition(n, "id").select("id", (F.row_number().over(by_id) - 1).alias("seq"), "text", *carried)
 
 
 def _splitters(docs: DataFrame, text_col: str, n: int) -> Splitters:
@@ -187,6 +190,7 @@ def _repeated_units(texts: DataFrame, splitters: Splitters, n: int) -> DataFrame
         def flush() -> Iterator[pa.RecordBatch]:
             ids, seqs, packed, h, unit = map(np.concatenate, zip(*held, strict=True))
             held.clear()
+            # texts come in order of id and number, so the first of equal units is the earliest
             order, new = _first_of(tb.mix(h) ^ unit)
             first, rest = order[new], order[~new]
             again = np.append(~new[1:], False)[new].astype(np.uint8)
@@ -297,15 +301,15 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, new
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, seq, start, end): byte ranges whose union is removed; and the texts (id, seq, text) that they speak of."""
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(id, seq, text, cuts, _0, _1, …): each text with the byte ranges (seq, start, end) whose union is removed of the rows of its id, and carried columns."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(docs, text_col, n)
-    texts = _texts(docs, id_col, text_col, n)
+    texts = _texts(docs, id_col, text_col, n, carry or [])
     units = _repeated_units(texts, splitters, n)
     listed = units.groupBy("id").agg(F.collect_list(F.struct("seq", "packed")).alias("units"))
-    joined = texts.join(listed, "id").select("id", "seq", "text", "units")
+    joined = texts.join(listed, "id").select("id", "seq", "text", "units", *texts.columns[3:])
     names = ["bucket", "id", "seq", "start", "end", "blob"]
     to_list = "bucket int, id long, seq int, start long, end long, blob binary"
 
@@ -317,7 +321,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             text = np.concatenate([x[6] for x in held])
             begin = np.cumsum(size) - size
             held.clear()
-            order, new = _first_of(key ^ tb.mix(h))
+            # a join may bring rows in any order
+            content = key ^ tb.mix(h)
+            order = np.lexsort((at, seqs, ids, content))
+            new = np.append(True, content[order][1:] != content[order][:-1])
             first, rest = order[new], order[~new]
 
             def send(x: np.ndarray) -> bytes:
@@ -404,7 +411,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sent = joined.mapInArrow(suffixes, to_list)
     found = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "id long, seq int, start long, end long")
-    return found, texts
+    cuts = found.groupBy("id").agg(F.collect_list(F.struct("seq", "start", "end")).alias("cuts"))
+    return texts.join(cuts, "id", "left").select("id", "seq", "text", "cuts", *texts.columns[3:])
 
 
 def _merged(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], int, int]:
@@ -439,9 +447,7 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cross rows. Rows that share an id are ordered by text, so the second of two equal rows is a copy; a null id comes last.
     Texts of fewer than ``LENGTH`` bytes stay whole. Other columns are ignored, whatever their names. No rows: no rows.
     """
-    found, texts = repeated_ranges(docs, id_col, text_col)
-    cuts = found.groupBy("id").agg(F.collect_list(F.struct("seq", "start", "end")).alias("cuts"))
-    joined = texts.join(cuts, "id", "left").select("id", "seq", "text", "cuts")
+    joined = repeated_ranges(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,20 +469,22 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the bytes that ``removal_digest`` counts taken out of the texts; other columns as they are.
 
-    A character of which only some bytes are removed goes whole. Rows stay even where nothing of their text is left.
-    A null text stays null unless its row has cuts, which it never has.
+    A character of which only some bytes are removed goes whole. Rows stay even where nothing of their text is left; a null
+    text stays null.
     """
-    found, texts = repeated_ranges(docs, id_col, text_col)
-    cuts = found.groupBy("id").agg(F.collect_list(F.struct("seq", "start", "end")).alias("cuts"))
-    joined = texts.join(cuts, "id").select("id", "seq", "text", "cuts")
+    # null texts are told from empty ones by a carried flag
+    others = [c for c in docs.columns if c != text_col]
+    flag = "_" + "".join(docs.columns)
+    rows = docs.withColumn(flag, F.col(text_col).isNull())
+    joined = repeated_ranges(rows, id_col, text_col, [*others, flag])
+    schema = T.StructType([docs.schema[c] for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [b"".join(_merged(text, s, e)[0]).decode("utf-8", "ignore") if len(s) else None for _, text, s, e in _row_ranges(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["_id", "_seq", "_kept"])
-
-    kept = joined.mapInArrow(run, "_id long, _seq int, _kept string").where("_kept is not null")
-    number = Window.partitionBy(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).orderBy(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rid"), (F.row_number().over(number) - 1).alias("_rseq"))
-    out = rows.join(kept, (rows["_rid"] == kept["_id"]) & (rows["_rseq"] == kept["_seq"]), "left")
-    return out.select(*[F.coalesce("_kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+            null = batch.column(batch.num_columns - 1).to_pylist()
+            kept = [None if null[i] else b"".join(_merged(t, s, e)[0] if len(s) else [t]).decode("utf-8", "ignore") for i, t, s, e in _row_ranges(batch)]
+            columns = dict(zip(others, batch.columns[4:-1], strict=True)) | {text_col: pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in columns_of], columns_of)
+
+    columns_of = docs.columns
+    return joined.mapInArrow(run, schema)

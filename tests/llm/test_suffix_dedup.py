@@ -101,3 +101,20 @@ def test_sort_suffixes():
     strings = [raw[p : p + sd.LENGTH] for p in at[order]]
     assert strings == sorted(strings)
     assert [a != b for a, b in zip(strings, strings[1:])] == new[1:].tolist()
+
+
+def test_order_of_rows_does_not_matter(spark):
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passage = say(60)
+    rows = [(i, say(60) + (" " + passage if i % 3 else "")) for i in range(120)]
+    want = {x[0]: x[1] - x[2] for x in brute(rows)}
+    for threshold in ("-1", "100m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            # kept in another order than that of ids
+            df = spark.createDataFrame(rows[::-1], SCHEMA).repartition(3, "text").cache()
+            df.count()
+            assert {x.doc_id: len(x.text) for x in sd.remove_repeats(df).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
