@@ -9,8 +9,12 @@ from ..shared import materialize
 
 
 def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Links every kept neighbour of ``u`` to the least of ``u`` and its neighbours."""
+    """Links every kept neighbour of ``u`` to the least of ``u`` and its neighbours.
+
+    The least ids are a table of their own, so the join's exchanges hold nothing but its sides, and those of a hot ``u`` can be split.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(least, "least")
     return pairs.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 

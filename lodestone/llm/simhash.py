@@ -23,6 +23,8 @@ from . import textblocks as tb
 from .components import connected_components
 
 SEED = 42
+#: Stands for a null id in joins.
+LAST = (1 << 63) - 1
 #: Most fingerprints of one side of a tile.
 TILE = 8192
 _SUB = 1024
@@ -140,6 +142,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) whose components are those of all pairs within ``radius``."""
     keyed = nodes.select("fp", F.explode(F.array(*_block_keys(radius))).alias("x")).select("fp", "x.t", "x.k")
     hot = keyed.groupBy("t", "k").count().where(F.col("count") > TILE).select("t", "k", F.ceil(F.col("count") / TILE).cast("int").alias("n"))
+    hot = materialize(hot, "hot")
     dealt = keyed.join(hot, ["t", "k"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("s", F.expr("cast(pmod(xxhash64(fp, t), n) as int)"))
     dealt = dealt.select("fp", "t", "k", "s", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
@@ -195,8 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their near-duplicate group: those of its smallest id.
 
-    Repeats of a row count once. Rows with a null id are kept only where their whole group has null ids.
+    Repeats of a row count once. A null id names no document: such rows are not judged and stay once for each distinct text.
     """
     classes = near_duplicates(docs.select(id_col, text_col), id_col, text_col, size, radius)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    # a null id stands as LAST, so that one exchange by the key serves the join and the removal of repeats
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    keep = classes.where(F.col(id_col) == F.col("component_id")).select(key.alias("_key")).distinct()
+    keep = keep.union(docs.sparkSession.range(1).select(F.lit(LAST).alias("_key")))
+    nameless = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    kept = docs.withColumns({"_key": key, "_nameless": nameless}).join(keep, "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "_nameless"]).select(docs.columns)
