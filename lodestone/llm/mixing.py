@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: source, output tokens as a share of the input's, tokens of a block.
 ENTROPY, REPEATS, BUDGET, BLOCK_TOKENS, SEED = 0.97, 4.0, 1.0, 100_000, 17
 SECTIONS, ROUNDS = 64, 3
+#: Shares of a source's documents.
+SALTS = 64
 
 
 def source_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -89,7 +91,10 @@ def mixture(
     plan = power.crossJoin(norm).select("source", "n", "all", target.alias("target")).where("target > 0")
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.lit(budget) * F.col("all") / F.lit(block_tokens))).cast("long"))
     epochs = F.explode(F.expr("sequence(0L, cast(ceil(target / n) as long) - 1)"))
-    taken = rows.join(plan, "source").select("id", "source", "n_tokens", "n", "target", "blocks", epochs.alias("epoch"))
+    # a source's row of the plan is copied for SALTS shares of its documents, so a hot source is joined by as many tasks
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALTS)).cast("int"))
+    taken = salted.join(plan, ["source", "salt"]).select("id", "source", "n_tokens", "n", "target", "blocks", epochs.alias("epoch"))
     key = F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     taken = taken.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
     sums = taken.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("in_range"))
