@@ -128,10 +128,10 @@ def contained_items(
     for number in range(passes):
         block = queries.where(F.expr(f"pmod(xxhash64(i, t), {passes}) = {number}"))
         index = Index([(-1 if r.i is None else r.i, r.t.encode()) for r in block.collect()], size, threshold)
-        sent = spark.sparkContext.broadcast(index)
+        sent = tb.share(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
+            own = sent()
             for batch in batches:
                 rows = tb.rows_of(batch.column(1))
                 out = [(lo + r, k, n) for lo, hi in tb.blocks(rows) for r, k, n in own.search(rows[lo:hi])]

@@ -6,10 +6,16 @@ follows the longest text and never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 #: White space of all word rules here: U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -23,7 +29,7 @@ U = np.uint64
 _random = np.random.default_rng(0x5EED)
 _TABLES = _random.integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(U) * U(2) + U(1)
 _BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
 #: Multipliers of the words of an n-gram.
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 
@@ -55,13 +61,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
+    """Powers of a base and of its inverse.
+
+    Functions travel to executors by value, each task with globals of its own. The powers are kept with the process instead, so
+    tasks neither carry nor recompute them.
+    """
+    powers = sys.modules.setdefault("_lodestone_powers", ModuleType("_lodestone_powers")).__dict__.setdefault("kept", {})
+    if which not in powers or len(powers[which][0]) < n:
         size = max(n, BLOCK + 4096)
         base = _BASES[which]
         up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
-        _POWERS[which] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[which]
+        powers[which] = np.cumprod(up), np.cumprod(down)
+    return powers[which]
 
 
 def prefix_hashes(data: np.ndarray, which: int = 0) -> np.ndarray:
@@ -144,3 +156,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def unpack_all(blobs: list[bytes]) -> list[np.ndarray]:
     """The arrays of many blobs, each joined with its like."""
     return [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
+
+
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of any object, class included, so executors need no copy of this package. Call the result once in each task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

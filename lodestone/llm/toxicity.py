@@ -124,13 +124,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     only, or there are none, all rows get that grade, or 0. Repeated rows are returned as often, null ids too. Other columns are
     ignored, whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+    sent = tb.share(docs.sparkSession, fit(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
             texts = batch.column(1)
             for lo, hi in tb.blocks(tb.rows_of(texts)):
-                expected, some = sent.value.severities([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                expected, some = model.severities([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 whole = np.floor(expected + 0.5).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(expected), pa.array(whole), pa.array(some >= 0.5)], ["id", "expected_severity", "severity", "toxic"])
 
