@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network with calibrated temperature.
 
-Tokens are runs of word characters and runs of other visible characters. Each token of the fitting sample has a sparse
-random index vector; its word vector adds the index vectors of its neighbours to its own. Tokens outside the vocabulary
-share the vector of their shape (case, digits, signs, length), which is learned like any other. A document is the mean of
-its tokens' vectors, with the length of that mean (high where few words repeat) and the log of the token count.
+Tokens are runs of word characters and runs of other visible characters. Every token has a sparse random index vector, derived
+from its hash. The context vector of a token adds up the index vectors of its neighbours in the fitting sample; tokens outside
+the vocabulary share the context vector of their shape (case, digits, signs, length), which is learned like any other. A word
+vector is both side by side. A document is the mean of its tokens' vectors, with the length of the index part (high where few
+words repeat), by itself and against what so many different tokens would have, and the log of the token count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from . import textblocks as tb
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32_768
 #: Most tokens with a vector of their own.
 VOCABULARY = 20_000
-DIMENSIONS, NONZERO, WINDOW, HIDDEN = 96, 8, 2, 32
+DIMENSIONS, NONZERO, WINDOW, HIDDEN = 64, 8, 2, 32
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -41,12 +42,13 @@ def shape(token: str) -> str:
     return f"\x00{kind}{min(len(token).bit_length(), 5)}"
 
 
-def index_vector(token: str) -> np.ndarray:
-    """The token's own sparse ternary vector, the same in every run."""
-    rng = np.random.default_rng(zlib.crc32(token.encode("utf-8", "surrogatepass")))
-    out = np.zeros(DIMENSIONS, np.float32)
-    out[rng.choice(DIMENSIONS, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out / np.sqrt(NONZERO)
+def index_vectors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of each token's index vector, the same in every run."""
+    h = tb.mix(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in tokens], np.uint64))[:, None]
+    turn = np.arange(NONZERO, dtype=np.uint64)
+    places = (h >> (turn * np.uint64(6))) & np.uint64(DIMENSIONS - 1)
+    signs = (h >> (turn + np.uint64(48))) & np.uint64(1)
+    return places.astype(np.int64), 2.0 * signs.astype(np.float64) - 1.0
 
 
 class Model:
@@ -58,29 +60,33 @@ class Model:
         self.layers = None
         if len(set(labels.tolist())) < 2:
             return
-        tokens = [TOKEN.findall(t) for t in texts]
-        seen = Counter(x for row in tokens for x in set(row))
+        seen: Counter = Counter()
+        for text in texts:
+            seen.update(set(TOKEN.findall(text)))
         common = sorted((x for x, n in seen.items() if n >= 3), key=lambda x: (-seen[x], x))[:VOCABULARY]
+        del seen
         shapes = [f"\x00{k}{n}" for k in ("9", "!", "XX", "Xx", "xx") for n in range(1, 6)]
         self.ids = {x: i for i, x in enumerate([*common, *shapes])}
-        index = np.stack([index_vector(x) for x in self.ids])
-        pairs: Counter = Counter()
-        for row in tokens:
-            own = np.array([self.id_of(x) for x in row], np.int64)
-            for step in range(1, WINDOW + 1):
-                a, b = own[:-step], own[step:]
-                keys, n = np.unique(np.concatenate([a * len(index) + b, b * len(index) + a]), return_counts=True)
-                pairs.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-        keys = np.array(sorted(pairs), np.int64)
-        weight = np.log1p(np.array([pairs[k] for k in keys.tolist()], np.float32))
+        places, signs = index_vectors(list(self.ids))
+        index = np.zeros((len(self.ids), DIMENSIONS), np.float32)
+        np.add.at(index, (np.arange(len(index))[:, None], places), signs)
+        # token numbers of the whole sample; texts are kept apart by WINDOW fillers
+        gap = np.full(WINDOW, -1, np.int32)
+        run = np.concatenate([x for t in texts for x in (np.array([self.id_of(w) for w in TOKEN.findall(t)], np.int32), gap)])
+        # frequent neighbours tell less
+        light = index / np.sqrt(1 + np.bincount(run[run >= 0], minlength=len(index)))[:, None]
         context = np.zeros_like(index)
-        word, near = keys // len(index), keys % len(index)
-        for lo in range(0, len(keys), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            edge = np.flatnonzero(np.diff(word[part], prepend=-1))
-            context[word[part][edge]] += np.add.reduceat(index[near[part]] * weight[part, None], edge, axis=0)
+        for step in range(1, WINDOW + 1):
+            left, right = run[:-step], run[step:]
+            both = (left >= 0) & (right >= 0)
+            for word, near in ((left[both], right[both]), (right[both], left[both])):
+                order = np.argsort(word, kind="stable")
+                for lo in range(0, len(order), 1 << 16):
+                    part = order[lo : lo + (1 << 16)]
+                    edge = np.flatnonzero(np.diff(word[part], prepend=-1))
+                    context[word[part][edge]] += np.add.reduceat(light[near[part]], edge, axis=0)
         length = np.linalg.norm(context, axis=1, keepdims=True)
-        self.vectors = index + context / np.maximum(length, 1e-6)
+        self.contexts = context / np.maximum(length, 1e-6)
         x = np.stack([self.pooled(t) for t in texts])
         self.center, self.scale = x.mean(0), x.std(0) + 1e-3
         self._fit((x - self.center) / self.scale, labels.astype(np.float64), rng)
@@ -91,12 +97,15 @@ class Model:
     def pooled(self, text: str) -> np.ndarray:
         counts = Counter(TOKEN.findall(text))
         total = counts.total()
-        mean = np.zeros(DIMENSIONS, np.float32)
+        own, near, length = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS, np.float32), 0.0
         if total:
             ids = self.ids
-            at = [ids[x] if x in ids else ids[shape(x)] for x in counts]
-            mean = np.fromiter(counts.values(), np.float32, len(counts)) @ self.vectors[at] / total
-        return np.concatenate([mean, [np.linalg.norm(mean), np.log1p(total)]])
+            share = np.fromiter(counts.values(), np.float32, len(counts)) / total
+            places, signs = index_vectors(list(counts))
+            own = np.bincount(places.ravel(), (signs * share[:, None]).ravel(), DIMENSIONS) / np.sqrt(NONZERO)
+            near = share @ self.contexts[[ids[x] if x in ids else ids[shape(x)] for x in counts]]
+            length = float(own @ own)
+        return np.concatenate([own, near, [np.sqrt(length), np.log(length * total + 1e-3), np.log1p(total)]])
 
     def _logit(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -122,7 +131,7 @@ class Model:
                 g = (p - y[part]) * np.where(y[part] > 0, 0.5 / share, 0.5 / (1 - share)) / len(part)
                 back = g[:, None] * w2 * (1 - hidden**2)
                 step += 1
-                for k, d in enumerate((x[part].T @ back + 1e-4 * w1, back.sum(0), hidden.T @ g + 1e-4 * w2, g.sum(keepdims=True))):
+                for k, d in enumerate((x[part].T @ back + 1e-3 * w1, back.sum(0), hidden.T @ g + 1e-3 * w2, g.sum(keepdims=True))):
                     first[k] = 0.9 * first[k] + 0.1 * d
                     second[k] = 0.999 * second[k] + 0.001 * d**2
                     self.layers[k] = self.layers[k] - 3e-3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -160,12 +169,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label 1, or 0.5 without any. Several labels of one id count by their mean. Repeated rows are returned as often; a null id is
     not held out. Other columns are ignored, whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
+    sent = tb.share(docs.sparkSession, fit(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
             texts = batch.column(1)
-            out = [sent.value.scores([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]) for lo, hi in tb.blocks(tb.rows_of(texts))]
+            out = [model.scores([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]) for lo, hi in tb.blocks(tb.rows_of(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -175,15 +185,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with a score of 0.5 or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    sent = tb.share(docs.sparkSession, fit(docs, labels, id_col, text_col))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
             texts = batch.column(place)
             for lo, hi in tb.blocks(tb.rows_of(texts)):
                 part = batch.slice(lo, hi - lo)
-                good = sent.value.scores([t or "" for t in part.column(place).to_pylist()]) >= 0.5
+                good = model.scores([t or "" for t in part.column(place).to_pylist()]) >= 0.5
                 yield part.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
