@@ -5,6 +5,8 @@ A ranking is rows (qid, rank, rel), ranks from 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,11 @@ def evaluate(results: DataFrame, qrels: DataFrame, queries: DataFrame, p: float
     return every.agg(*(F.avg(F.coalesce(m, F.lit(0.0))).alias(m) for m in METRICS))
 
 
+def evaluate_function(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, qrels: DataFrame, k: int = 1000, p: float = 0.8) -> DataFrame:
+    """``evaluate`` for any retrieval function of (queries, k); all queries are answered in one call."""
+    return evaluate(search(queries, k), qrels, queries, p)
+
+
 def compare(by_method: dict[str, DataFrame], qrels: DataFrame, queries: DataFrame, p: float = 0.8) -> DataFrame:
     """(method, rbp, dcg, ndcg, ap): a row of means for each method's results."""
     rows = None

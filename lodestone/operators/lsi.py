@@ -41,6 +41,13 @@ def weights(index: Index) -> DataFrame:
     return rows.select("term", "doc_id", w.alias("w"))
 
 
+def matrix_shape(index: Index) -> DataFrame:
+    """(documents, terms, entries, density) of the term-document matrix."""
+    shape = index.summary().select("documents", F.col("vocabulary").alias("terms"), F.col("postings").alias("entries"))
+    cells = F.col("documents") * F.col("terms")
+    return shape.withColumn("density", F.when(cells > 0, F.col("entries") / cells).otherwise(F.lit(0.0)))
+
+
 def query_weights(queries: DataFrame, index: Index) -> DataFrame:
     """(qid, term, w): ``(1 + ln qtf) * idf`` of the query terms that the index has."""
     known = query_terms(queries).join(index.term_stats, "term").crossJoin(F.broadcast(index.collection.select("n")))

@@ -243,6 +243,11 @@ def tdm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lsi.weights(index_of(spark, sf_dir)), "w")
 
 
+@query(f"WITH {_STATS}, s AS (SELECT (SELECT count(*) FROM ds) AS documents, (SELECT count(*) FROM ts) AS terms, (SELECT count(*) FROM post) AS entries) SELECT *, round(entries / (documents * terms), 9) AS density FROM s")
+def tdm_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsi.matrix_shape(index_of(spark, sf_dir)).withColumn("density", F.round("density", 9))
+
+
 @query(f"WITH {_QUERY} SELECT qid, term, round((1 + ln(qtf)) * ln(n / greatest(df, 1)), 6) AS w FROM q JOIN ts USING (term), st")
 def lsi_query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lsi.query_weights(queries_of(spark, sf_dir), index_of(spark, sf_dir)), "w")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import evaluation, lsi, retrieval, vector, vocabulary
 from lodestone.operators.index import Index, build_index, count_postings, gap_rows, merge_full_outer, merge_runs, postings_arrays, token_rows
 from lodestone.plans import cli
+from lodestone.plans.demo import demo
 from lodestone.sources.collection import read_collection, read_evaluation_queries, read_qrels, read_queries
 from lodestone.streaming.ingest import ingest, read_ingested
 
@@ -172,6 +173,18 @@ def test_evaluation_of_methods(spark):
     assert {(r.metric, r.method) for r in evaluation.best_methods(table, ["q", "r", "p"]).collect()} == {(m, "r") for m in evaluation.METRICS}
 
 
+def test_evaluating_a_function(spark, index):
+    queries = spark.createDataFrame([(1, "a"), (2, "zz")], "qid long, query string")
+    qrels = spark.createDataFrame([(1, 3, 1)], "qid long, doc_id long, rel int")
+    mean = evaluation.evaluate_function(lambda q, k: retrieval.search_tfidf(q, index, k), queries, qrels).first()
+    assert mean.ap == pytest.approx(0.5)
+    assert tuple(lsi.matrix_shape(index).first())[:3] == (5, 7, 11)
+
+
+def test_demo(spark, folder):
+    assert demo(spark, str(folder / "collection"), 1).first().doc_id == "./collection/1/7.txt"
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(500, 8)).astype(np.float32)
