@@ -178,7 +178,7 @@ def test_evaluating_a_function(spark, index):
     qrels = spark.createDataFrame([(1, 3, 1)], "qid long, doc_id long, rel int")
     mean = evaluation.evaluate_function(lambda q, k: retrieval.search_tfidf(q, index, k), queries, qrels).first()
     assert mean.ap == pytest.approx(0.5)
-    assert tuple(lsi.matrix_shape(index).first())[:3] == (5, 7, 11)
+    assert tuple(lsi.matrix_shape(index).first())[:3] == (5, 7, 12)
 
 
 def test_demo(spark, folder):
