@@ -142,9 +142,9 @@ def test_pruning_changes_nothing(spark):
     index = build_index(spark.createDataFrame(texts, "doc_id long, text string"))
     queries = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.integers(1, 60, 5))) for i in range(20)], "qid long, query string")
     flat = lambda df: [(r.qid, r.rank, r.doc_id, round(r.score, 9)) for r in df.orderBy("qid", "rank").collect()]
-    assert flat(retrieval.search_wand(queries, index, 5)) == flat(retrieval.search_wand(queries, index, 5, prune=False))
+    assert flat(retrieval.search_wand(queries, index, 5, prune=True)) == flat(retrieval.search_wand(queries, index, 5))
     with pytest.raises(ValueError):
-        retrieval.search_wand(queries, index, 5, b=2.0)
+        retrieval.search_wand(queries, index, 5, b=2.0, prune=True)
 
 
 def test_metrics(spark):
