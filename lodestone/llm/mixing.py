@@ -12,6 +12,8 @@ so a source that holds a third of all rows is summed by thousands of tasks.
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +41,22 @@ def exponent(totals: DataFrame, entropy: float, repeats: float, budget: float) -
     ``totals`` (source, n > 0). Entropy is a share of the log of the number of sources. Each round is one aggregate of
     ``2 * (SECTIONS + 1)`` rows. No exponent up to 1 that keeps the limit: 1.
     """
-    base = totals.agg(F.sum("n").alias("all"), F.count("*").alias("sources"))
-    shares = totals.crossJoin(base).select("n", F.ln(F.col("n") / F.col("all")).alias("l"), "all", "sources")
+    total, sources = totals.agg(F.sum("n"), F.count("*")).first()
+    if not sources:
+        return 1.0
+    shares = totals.select("n", F.ln(F.col("n") / F.lit(total)).alias("l"))
     low, high, step = 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
         step /= SECTIONS
         grid = F.explode(F.sequence(F.lit(0), F.lit(SECTIONS)))
         each = [shares.select("*", F.lit(kind).alias("kind"), grid.alias("k")).withColumn("a", F.lit(at) + F.col("k") * F.lit(step)) for kind, at in (("h", low), ("r", high))]
         e = F.exp(F.col("a") * F.col("l"))
-        sums = each[0].union(each[1]).groupBy("kind", "k", "a").agg(F.sum(e).alias("z"), F.sum(e * F.col("l")).alias("y"), F.max(e / F.col("n")).alias("top"), F.max("all").alias("all"), F.max("sources").alias("sources"))
+        sums = each[0].union(each[1]).groupBy("kind", "k", "a").agg(F.sum(e).alias("z"), F.sum(e * F.col("l")).alias("y"), F.max(e / F.col("n")).alias("top"))
         held = sums.select(
             "kind",
             "a",
-            (F.ln("z") - F.col("a") * F.col("y") / F.col("z") >= F.lit(entropy) * F.ln("sources") - F.lit(1e-9)).alias("wide"),
-            (F.lit(budget) * F.col("all") * F.col("top") / F.col("z") <= F.lit(repeats) + F.lit(1e-9)).alias("few"),
+            (F.ln("z") - F.col("a") * F.col("y") / F.col("z") >= F.lit(entropy * log(sources)) - F.lit(1e-9)).alias("wide"),
+            (F.lit(budget) * F.lit(total) * F.col("top") / F.col("z") <= F.lit(repeats) + F.lit(1e-9)).alias("few"),
         )
         found = held.agg(F.max(F.expr("if(kind = 'h' and wide, a, null)")), F.min(F.expr("if(kind = 'r' and few, a, null)"))).first()
         low = min(1.0 - step, found[0] if found[0] is not None else 0.0) if _ < ROUNDS - 1 else (found[0] or 0.0)
@@ -84,12 +88,12 @@ def mixture(
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).where("n > 0")
     totals = materialize(totals, "totals")
     a = exponent(totals, entropy, repeats, budget)
-    base = totals.agg(F.sum("n").alias("all"))
-    power = totals.crossJoin(base).withColumn("e", F.exp(F.lit(a) * F.ln(F.col("n") / F.col("all"))))
-    norm = power.agg(F.sum("e").alias("z"))
-    target = F.floor(F.lit(budget) * F.col("all") * F.col("e") / F.col("z")).cast("long")
-    plan = power.crossJoin(norm).select("source", "n", "all", target.alias("target")).where("target > 0")
-    plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.lit(budget) * F.col("all") / F.lit(block_tokens))).cast("long"))
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    power = totals.withColumn("e", F.exp(F.lit(a) * F.ln(F.col("n") / F.lit(total))))
+    norm = power.agg(F.sum("e")).first()[0] or 1.0
+    target = F.floor(F.lit(budget) * F.lit(total) * F.col("e") / F.lit(norm)).cast("long")
+    blocks = max(1, ceil(budget * total / block_tokens))
+    plan = power.select("source", "n", target.alias("target"), F.lit(blocks).cast("long").alias("blocks")).where("target > 0")
     epochs = F.explode(F.expr("sequence(0L, cast(ceil(target / n) as long) - 1)"))
     # a source's row of the plan is copied for SALTS shares of its documents, so a hot source is joined by as many tasks
     plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
