@@ -36,7 +36,7 @@ LENGTH = 100
 SPAN = 64
 GRAM = LENGTH - SPAN + 1
 #: Texts beyond this many bytes are taken in overlapping pieces of it.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Rows sampled for splitters, and anchors kept of each.
 SAMPLE_ROWS, SAMPLE_ANCHORS = 2000, 256
 #: An anchor in so many texts of the sample is hot.

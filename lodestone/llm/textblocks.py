@@ -1,6 +1,6 @@
 """Numpy kernels over the UTF-8 bytes of many texts at once: words, lines and hashes of byte ranges.
 
-Every kernel works on a block of whole texts (about a megabyte together, or one longer text), so memory
+Every kernel works on a block of whole texts (half a megabyte together, or one longer text), so memory
 follows the longest text and never the partition.
 """
 
@@ -24,7 +24,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U = np.uint64
 _random = np.random.default_rng(0x5EED)
 _TABLES = _random.integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(U) * U(2) + U(1)
