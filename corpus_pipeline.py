@@ -1,7 +1,7 @@
 """Training-corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. quality: documents that the quality classifier scores under 0.5 go.
-2. near_duplicates: of each SimHash group the document of the smallest id stays.
+2. near_duplicates: of each group of texts whose 5-word shingles are 0.8 similar the document of the smallest id stays.
 3. repeats: bytes that repeat an earlier 100-byte string are cut out of the texts.
 4. benchmark: documents that hold four fifths of a benchmark item go.
 5. mixing: sources are mixed to their target weights; a row for each place of a document in the mixture.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, mixing, quality_classifier, simhash, suffix_dedup
+from lodestone.llm import decontaminate, mixing, near_text, quality_classifier, suffix_dedup
 from lodestone.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return simhash.keep_representatives(docs.select(COLUMNS))
+    return near_text.keep_representatives(docs.select(COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier and the fingerprints have no SQL; the stages are tested against brute force instead.
+#: The classifier and the near duplicates have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
