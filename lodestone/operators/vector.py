@@ -19,6 +19,8 @@ from .retrieval import top_k
 
 #: Queries that one pass over the vectors answers.
 QUERY_BLOCK = 4096
+#: Recall that the number of probed cells is chosen for, above the 0.9 that is asked, and the queries that it is measured on.
+RECALL, PROBE_QUERIES = 0.95, 200
 
 
 def normalize(rows: DataFrame, column: str = "vec") -> DataFrame:
@@ -94,8 +96,10 @@ def build_cells(vectors: DataFrame, n_cells: int | None = None, id_col: str = "v
     return materialize(dealt, "cells") if stored else dealt, np.array(model.clusterCenters())
 
 
-def search_cells(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int = 10, n_probe: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """As ``search_exact`` over the ``n_probe`` cells whose centroids have the highest inner product with each query. All cells: exact."""
+def search_cells(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int = 10, n_probe: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """As ``search_exact`` over the ``n_probe`` cells whose centroids have the highest inner product with each query, ``probes_for`` by default. All cells: exact."""
+    if n_probe is None:
+        n_probe = probes_for(queries, cells, centroids, k, id_col=id_col, vec_col=vec_col)
     found = None
     wide = F.transform(vec_col, lambda x: x.cast("double"))
     rows = cells.select(F.col(id_col).cast("long").alias("id"), wide.alias("vec"), "cell")
@@ -126,6 +130,22 @@ def search_cells(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k:
     return top_k(found, k, ids="id").withColumnRenamed("id", id_col)
 
 
+def probes_for(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int = 10, least: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 42) -> int:
+    """The fewest probed cells with which PROBE_QUERIES of the queries find ``least`` of their exact results on average; all cells without queries.
+
+    The queries of least id hash are measured against ``search_exact``, once: each exact result counts by the place of its cell in
+    its query's order of cells, so every number of probes is judged at once.
+    """
+    some = queries.where("vec is not null").select(F.col("qid").cast("long"), "vec").dropDuplicates(["qid"]).orderBy(F.expr(f"xxhash64(qid, {seed})"), "qid").limit(PROBE_QUERIES)
+    some = materialize(some, "probes")
+    exact = search_exact(some, cells, k, id_col, vec_col).join(cells.select(F.col(id_col).cast("long").alias(id_col), "cell"), id_col)
+    # at most PROBE_QUERIES vectors, and k pairs of numbers for each
+    vecs = {r[0]: np.array(r[1], np.float64) for r in some.collect()}
+    place = {q: np.argsort(np.argsort(-(v @ centroids.T), kind="stable")) for q, v in vecs.items()}
+    need = np.sort([place[r.qid][r.cell] for r in exact.select("qid", "cell").collect()])
+    return int(need[ceil(least * len(need)) - 1]) + 1 if len(need) else len(centroids)
+
+
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """(recall): the share of the exact results that were found."""
     hit = exact.select("qid", id_col).join(found.select("qid", id_col, F.lit(1).alias("hit")), ["qid", id_col], "left")

@@ -533,7 +533,9 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by clusters: an approximation, tested by its recall."""
     cells, centroids = _once(spark, sf_dir, "cells", lambda: vector.build_cells(table(spark, sf_dir, "embeddings")))
-    return rounded(vector.search_cells(_vector_queries(spark, sf_dir), cells, centroids), "score")
+    queries = _vector_queries(spark, sf_dir)
+    n_probe = _once(spark, sf_dir, "n_probe", lambda: vector.probes_for(queries, cells, centroids))
+    return rounded(vector.search_cells(queries, cells, centroids, n_probe=n_probe), "score")
 
 
 def stored_index(spark: SparkSession, sf_dir: str, path: str) -> Index:

@@ -209,6 +209,15 @@ def test_vector_search(spark):
     assert [r.vec for r in unit] == [[0.6, 0.8], [0.0, 0.0]]
 
 
+@pytest.mark.parametrize("n", [40, 2000])
+def test_recall_of_cells_by_default(spark, n):
+    data = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS qid", "embedding AS vec")
+    found = vector.search_cells(queries, *vector.build_cells(vectors))
+    assert vector.recall(found, vector.search_exact(queries, vectors)).first().recall >= 0.9
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = np.random.default_rng(5)
