@@ -6,13 +6,14 @@ of the template's words that are aligned.
 
 Windows come from probes. An alignment that covers a share t of a template of n words misses at most (1 - t) n of them, so
 of any floor((1 - t) n) + 1 words of it one at least stands in the text. The longest words are taken, as the rarest; a
-text without a probe has no match, and each probe hit places one window.
+text without a probe has no match, and each probe hit places one window. A second pass widens the windows of the hits that no match
+covers, so up to INSERTED template lengths of other words may stand inside a match.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +40,9 @@ TEMPLATES: dict[str, str] = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
 }
 THRESHOLD = 0.8
+#: Words that may be inserted into a match, in lengths of the template: a notice that is broken up by more than its own length is
+#: another text that shares its words.
+INSERTED = 1
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -115,22 +119,26 @@ class Scanner:
         if self.some is None or not self.some.search(low):
             return []
         words = words_of(text)
-        tried: dict[int, int] = {}
+        spans: dict[int, list[tuple[int, int]]] = {}
         out = []
-        for i, w in enumerate(words):
-            for k, offset in self.probes.get(w, ()):
-                template = self.words[k]
-                # what an accepted match covers holds no second one
-                if i <= tried.get(k, -1):
-                    continue
-                slack = max(2, len(template) // 4)
-                lo = max(tried.get(k, -1) + 1, i - offset - slack, 0)
-                hi = i - offset + len(template) + slack
-                pairs = patience(words[lo:hi], template)
-                coverage = len(pairs) / len(template)
-                if coverage >= self.threshold - 1e-9:
-                    out.append((k, coverage, lo + pairs[0][0], lo + pairs[-1][0]))
-                    tried[k] = lo + pairs[-1][0]
+        # every close match comes before the wide ones, which fill the room between them
+        for lengths in (0, INSERTED):
+            for i, w in enumerate(words):
+                for k, offset in self.probes.get(w, ()):
+                    template, taken = self.words[k], spans.setdefault(k, [])
+                    # what an accepted match covers holds no second one
+                    at = bisect_right(taken, (i, len(words)))
+                    if at and i <= taken[at - 1][1]:
+                        continue
+                    slack = max(2, len(template) // 4, lengths * len(template))
+                    lo = max(taken[at - 1][1] + 1 if at else 0, i - offset - slack)
+                    hi = min(taken[at][0] if at < len(taken) else len(words), i - offset + len(template) + slack)
+                    pairs = patience(words[lo:hi], template)
+                    coverage = len(pairs) / len(template)
+                    if coverage >= self.threshold - 1e-9:
+                        first, last = lo + pairs[0][0], lo + pairs[-1][0]
+                        out.append((k, coverage, first, last))
+                        insort(taken, (first, last))
         return sorted(out)
 
 

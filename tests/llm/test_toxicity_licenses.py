@@ -84,3 +84,22 @@ def test_licenses(spark):
     assert got[None, "MIT-notice"][2] == 1.0
     assert {r[0] for r in out} == {1, 2, 3, 7, None}
     assert licenses.scan(df.limit(0)).collect() == [] and licenses.scan(df, templates={}).collect() == []
+
+
+def test_inserted_words_as_whole_text_alignment():
+    r = random.Random(9)
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    found = scanner.scan("Licensed under the terms of the CC BY-NC 4.0")
+    assert (scanner.names.index("CC-BY-NC-4.0-notice"), 1.0, 0, 8) in found
+    for k, words in enumerate(scanner.words):
+        for _ in range(20):
+            at = r.randrange(1, len(words))
+            text = words[:at] + [f"x{r.random()}" for _ in range(r.randint(0, licenses.INSERTED * len(words)))] + words[at:]
+            before = [f"y{i}" for i in range(r.randint(0, 50))]
+            whole = licenses.patience(before + text, words)
+            assert len(whole) == len(words)
+            places = [x for x in scanner.scan(" ".join(before + text + before)) if x[0] == k]
+            assert len(places) == 1 and places[0][1] >= licenses.THRESHOLD and len(before) <= places[0][2] <= places[0][3] < len(before) + len(text)
+    # a close match stands, whatever precedes it
+    notice = "Licensed under CC BY-NC 4.0."
+    assert [x[1:] for x in scanner.scan("licensed things of many kinds " + notice) if scanner.names[x[0]] == "CC-BY-NC-4.0-notice"] == [(1.0, 5, 9)]
