@@ -115,13 +115,21 @@ def search_cells(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k:
                     continue
                 own = batch.column(2).to_numpy()
                 data = matrix(batch.column(1))
+                parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
                 for cell in np.unique(own):
                     q = np.flatnonzero((near == cell).any(1))
                     v = np.flatnonzero(own == cell)
                     scores = vecs[q] @ data[v].T
                     a, b = best_of(scores, k)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[q[a]]), batch.column(0).take(pa.array(v[b])), pa.array(scores[a, b])], ["qid", "id", "score"])
+                    parts.append((q[a], v[b], scores[a, b]))
+                # of a query's cells together only the k best leave a batch, with all that tie with the last
+                q, v, score = map(np.concatenate, zip(*parts, strict=True))
+                order = np.lexsort((-score, q))
+                q, v, score = q[order], v[order], score[order]
+                start = np.searchsorted(q, q)
+                last = np.minimum(start + k, np.searchsorted(q, q, "right")) - 1
+                best = score >= score[last] - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[best]]), batch.column(0).take(pa.array(v[best])), pa.array(score[best])], ["qid", "id", "score"])
 
         part = rows.where(F.col("cell").isin(probed)).mapInArrow(run, "qid long, id long, score double")
         found = part if found is None else found.union(part)
