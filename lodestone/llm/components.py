@@ -39,3 +39,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+#: Copies of the table of components that share the naming of one component's members.
+SALTS = 32
+
+
+def labelled(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """``nodes`` (node, least: any type that has an order) and their ``stars`` (node, root) to (node, component): the smallest ``least`` of each component.
+
+    Only members of components of several nodes are joined, and those of one root are dealt over SALTS tasks.
+    """
+    members = stars.select("node", "root").union(stars.select(F.col("root").alias("node"), "root").distinct())
+    known = materialize(members.join(nodes, "node").select("node", "root", "least"), "labelled")
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(least, ["root", "salt"]).select("node", "component")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "least").alias("component"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize
+from .rowkeys import row_key, unused
 
 #: Words as everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +30,12 @@ SECTIONS, ROUNDS = 64, 3
 SALTS = 64
 
 
-def source_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, n_tokens): words of each whole text. A null source is the source ''; a null text has no words."""
+def source_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, keyed: bool = False) -> DataFrame:
+    """(id, source, n_tokens): words of each whole text, and with ``keyed`` the row's key (x, y). A null source is the source ''; a null text has no words."""
     n = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n.alias("n_tokens"))
+    key = row_key(id_col, text_col)
+    more = [key["x"].alias("x"), key["y"].alias("y")] if keyed else []
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n.alias("n_tokens"), *more)
 
 
 def exponent(totals: DataFrame, entropy: float, repeats: float, budget: float) -> float:
@@ -84,7 +87,12 @@ def mixture(
     are taken where they fall and cost nothing; a source without any word is left out, as is everything if no text has
     words. A null id is shuffled as the text ''. Columns of other names are ignored. No rows: no rows.
     """
-    rows = materialize(source_tokens(docs, id_col, text_col, source_col), "tokens")
+    return _placed(materialize(source_tokens(docs, id_col, text_col, source_col), "tokens"), id_col, entropy, repeats, budget, block_tokens, seed)
+
+
+def _placed(rows: DataFrame, id_col: str, entropy: float, repeats: float, budget: float, block_tokens: int, seed: int) -> DataFrame:
+    """``mixture`` of (id, source, n_tokens) rows; further columns settle ties and go along."""
+    more = rows.columns[3:]
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).where("n > 0")
     totals = materialize(totals, "totals")
     a = exponent(totals, entropy, repeats, budget)
@@ -98,26 +106,41 @@ def mixture(
     # a source's row of the plan is copied for SALTS shares of its documents, so a hot source is joined by as many tasks
     plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALTS)).cast("int"))
-    taken = salted.join(plan, ["source", "salt"]).select("id", "source", "n_tokens", "n", "target", "blocks", epochs.alias("epoch"))
+    taken = salted.join(plan, ["source", "salt"]).select("id", "source", "n_tokens", *more, "n", "target", "blocks", epochs.alias("epoch"))
     key = F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     taken = taken.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
     sums = taken.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("in_range"))
     before = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "epoch", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "epoch", "range").orderBy("key", F.coalesce("id", F.lit(-1)), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "epoch", "range").orderBy("key", F.coalesce("id", F.lit(-1)), "n_tokens", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = taken.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["source", "epoch", "range"])
     placed = placed.withColumn("start", F.col("epoch") * F.col("n") + F.col("before") + F.col("own")).where("start < target")
     block = F.least(F.floor(F.col("start").cast("double") / F.col("target") * F.col("blocks")), F.col("blocks") - 1).cast("long")
-    order = Window.partitionBy("block").orderBy("key", "source", F.coalesce("id", F.lit(-1)), "n_tokens")
+    order = Window.partitionBy("block").orderBy("key", "source", F.coalesce("id", F.lit(-1)), "n_tokens", *more)
     out = placed.withColumn("block", block).withColumn("position", F.row_number().over(order).cast("long"))
-    return out.select("block", "position", F.col("id").alias(id_col), "source", "epoch", "n_tokens")
+    return out.select("block", "position", F.col("id").alias(id_col), "source", "epoch", "n_tokens", *more)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """``mixture`` with the text of each document; ids are distinct."""
-    plan = mixture(docs, id_col, text_col, source_col, **parameters)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return plan.join(texts, plan[id_col].eqNullSafe(F.col("_id"))).drop("_id")
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    entropy: float = ENTROPY,
+    repeats: float = REPEATS,
+    budget: float = BUDGET,
+    block_tokens: int = BLOCK_TOKENS,
+    seed: int = SEED,
+) -> DataFrame:
+    """``mixture`` with the text of each row as ``text``, one row for each place.
+
+    Rows are told apart by id and text, so null and repeated ids keep their own texts.
+    """
+    rows = materialize(source_tokens(docs, id_col, text_col, source_col, keyed=True), "tokens")
+    plan = _placed(rows, unused(["x", "y"], id_col), entropy, repeats, budget, block_tokens, seed)
+    key = row_key(id_col, text_col)
+    texts = docs.select(key["x"].alias("x"), key["y"].alias("y"), F.col(text_col).alias("text")).dropDuplicates(["x", "y"])
+    return plan.join(texts, ["x", "y"]).drop("x", "y").withColumnRenamed(unused(["x", "y"], id_col), id_col)
 
 
 def oracle(entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> str:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 from . import textblocks as tb
-from .components import connected_components
-from .simhash import LAST, merge_labels
+from .components import connected_components, labelled
+from .rowkeys import row_key, unused
+from .simhash import merge_labels
 
 #: Words of a shingle and the least similarity of near duplicates.
 SIZE, SIMILARITY = 5, 0.8
@@ -67,16 +68,16 @@ def _sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def prints(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(id, node, a, b, n) for every row (id, text): the hash of its shingle set, its SimHash and its shingles."""
+    """(id, x, y, node, a, b, n) for every row (id, x, y, text): the hash of its shingle set, its SimHash and its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, grams, offsets in _sets_of(batch.column(1), size):
+            for lo, hi, grams, offsets in _sets_of(batch.column(3), size):
                 name, fp = describe(grams, offsets)
                 columns = [name, fp[:, 0].copy(), fp[:, 1].copy(), np.diff(offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.astype(np.int64)) for c in columns)], ["id", "node", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:3], *(pa.array(c.astype(np.int64)) for c in columns)], ["id", "x", "y", "node", "a", "b", "n"])
 
-    return docs.mapInArrow(run, "id long, node long, a long, b long, n long")
+    return docs.mapInArrow(run, "id long, x long, y long, node long, a long, b long, n long")
 
 
 def common_shingles(docs: DataFrame, total: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +241,17 @@ def verified(groups: DataFrame, size: int = SIZE, similarity: float = SIMILARITY
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) for every row of ``docs``: the smallest id reachable over links of ``similarity`` or more.
+    """(id, x, y, least) for every row of ``docs``: its id, its ``row_key``, and the least (id, x, y) reachable over links of ``similarity`` or more.
 
     A-Z are lower-cased; similarity is the Jaccard similarity of the sets of ``size``-word shingles; a text of fewer words is one
-    shingle; empty, blank and null texts are equal. A null id is a component_id only where all ids of the component are null.
+    shingle; empty, blank and null texts are equal. Rows of a null id are linked like others but are never ``least``, which is null
+    only where all ids of the component are.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(prints(texts, size), "prints")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = materialize(prints(texts.select("id", "key.x", "key.y", "text"), size), "prints")
+    texts = texts.drop("key")
+    named_row = F.when(F.col("id").isNotNull(), F.struct("id", "x", "y"))
+    nodes = rows.groupBy("node").agg(F.min(named_row).alias("least"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("n").alias("n"))
     common = common_shingles(texts, rows.count(), size)
     tiles = entries(texts, common, size, similarity).groupBy("k").agg(F.collect_set(F.struct("side", "node")).alias("x")).where(F.size("x") > 1)
     tiles = tiles.select("k", F.explode("x").alias("x")).select("k", "x.side", "x.node").join(nodes.drop("least"), "node")
@@ -260,25 +264,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             for lo, _, grams, offsets in _sets_of(batch.column(1), size):
                 name = describe(grams, offsets)[0]
                 fresh = [i for i, x in enumerate(name.tolist()) if not (x in seen or seen.add(x))]
-                yield pa.RecordBatch.from_arrays([pa.array(name[fresh].view(np.int64)), batch.column(1).take(pa.array(fresh, pa.int64()) if not lo else pa.array([lo + i for i in fresh], pa.int64()))], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[fresh].view(np.int64)), batch.column(1).take(pa.array([lo + i for i in fresh], pa.int64()))], ["node", "text"])
 
     groups = texts.mapInArrow(named, "node long, text string").join(members, "node").dropDuplicates(["node"]).select("root", "node", "text")
-    stars = connected_components(verified(materialize(groups, "groups"), size, similarity)).withColumnRenamed("root", "top")
-    rooted = nodes.join(stars, "node", "left").select("node", "least", F.coalesce("top", "node").alias("top"))
-    least = rooted.groupBy("top").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "top").select("node", "component_id"), "node").select("id", "component_id")
+    stars = connected_components(verified(materialize(groups, "groups"), size, similarity))
+    least = labelled(nodes.select("node", "least"), stars).withColumnRenamed("component", "least")
+    return rows.join(least, "node").select("id", "x", "y", "least")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their near-duplicate group: those of its smallest id.
 
-    Repeats of a row count once. A null id names no document: such rows are not judged and stay once for each distinct text.
+    Rows of the same id and text count once. Where an id has several texts, each is judged by itself, the text of the least hash
+    first. A null id names no document: such rows are not judged and stay once for each distinct text.
     """
     found = classes(docs, id_col, text_col, size, similarity)
-    # a null id stands as LAST, so that one exchange by the key serves the join and the removal of repeats
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    keep = found.where("id = component_id").select(F.col("id").alias("_key")).distinct()
-    keep = keep.union(docs.sparkSession.range(1).select(F.lit(LAST).alias("_key")))
-    nameless = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    kept = docs.withColumns({"_key": key, "_nameless": nameless}).join(keep, "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "_nameless"]).select(docs.columns)
+    keep = found.where("id is null or (least.id = id and least.x = x and least.y = y)").select("x", "y").distinct()
+    x, y = unused(docs.columns, "x"), unused(docs.columns, "y")
+    key = row_key(id_col, text_col)
+    kept = docs.withColumns({x: key["x"], y: key["y"]}).join(keep.select(F.col("x").alias(x), F.col("y").alias(y)), [x, y], "left_semi")
+    # one exchange by the key serves the join and the removal of repeats
+    return kept.dropDuplicates([x, y]).select(docs.columns)

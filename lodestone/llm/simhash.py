@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 from . import textblocks as tb
-from .components import connected_components
+from .components import connected_components, labelled
 
 SEED = 42
-#: Stands for a null id in joins.
-LAST = (1 << 63) - 1
 #: Most fingerprints of one side of a tile.
 TILE = 8192
 _SUB = 1024
@@ -188,23 +186,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     stars = connected_components(links(nodes, radius))
-    rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    named = rows.join(classes, "fp")
-    return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their near-duplicate group: those of its smallest id.
-
-    Repeats of a row count once. A null id names no document: such rows are not judged and stay once for each distinct text.
-    """
-    classes = near_duplicates(docs.select(id_col, text_col), id_col, text_col, size, radius)
-    # a null id stands as LAST, so that one exchange by the key serves the join and the removal of repeats
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    keep = classes.where(F.col(id_col) == F.col("component_id")).select(key.alias("_key")).distinct()
-    keep = keep.union(docs.sparkSession.range(1).select(F.lit(LAST).alias("_key")))
-    nameless = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    kept = docs.withColumns({"_key": key, "_nameless": nameless}).join(keep, "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "_nameless"]).select(docs.columns)
+    classes = labelled(nodes.select(F.col("fp").alias("node"), "least"), stars)
+    named = rows.join(classes, rows.fp == classes.node)
+    return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

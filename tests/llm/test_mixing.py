@@ -67,3 +67,12 @@ def test_edges(spark):
     assert got(spark, [(1, "a b", "a", 0, 0)]) == [(0, 1, 1, "a", 0, 2)]
     texts = mixing.mixed_documents(spark.createDataFrame([(1, "a b", "s", 0, 0)], DOCS)).collect()
     assert [r.asDict() for r in texts] == [{"block": 0, "position": 1, "doc_id": 1, "source": "s", "epoch": 0, "n_tokens": 2, "text": "a b"}]
+
+
+def test_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s", 0, 0), (None, "d e", "s", 0, 0), (None, "d e", "s", 0, 0), (None, None, "s", 0, 0), (1, "f", "s", 0, 0), (1, "g h i j", "s", 0, 0), (2, "k l", "s", 0, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("block", "x")
+    out = mixing.mixed_documents(df, budget=1.0)
+    assert out.columns == ["block", "position", "doc_id", "source", "epoch", "n_tokens", "text"]
+    got = sorted(((r.doc_id, r.text, r.n_tokens) for r in out.collect()), key=str)
+    assert got == sorted([(i, t, len((t or "").split())) for i, t, *_ in rows], key=str)

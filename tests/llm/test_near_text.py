@@ -49,3 +49,16 @@ def test_stage_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_text, "TILE", 7)
     monkeypatch.setattr(near_text, "_SMALL", 3)
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_null_and_reused_ids(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice("abcdefghijklmnop") + str(r.randrange(90)) for _ in range(n))
+    a, b, c, d = (say(40) for _ in range(4))
+    rows = [(2, a, "p"), (2, b, "q"), (2, b, "q"), (5, b + " z", "r"), (None, a, "s"), (None, c, "t"), (None, c, "u"), (None, d, "v"), (9, d, "w"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, X string")
+    out = near_text.keep_representatives(df)
+    assert out.columns == df.columns
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    assert got == sorted([(2, a), (2, b), (None, a), (None, c), (None, d), (9, d), (None, None)], key=str)
+    assert near_text.keep_representatives(df.limit(0)).collect() == []

@@ -65,12 +65,6 @@ def test_as_brute_force(spark):
     assert got(spark, []) == []
 
 
-def test_representatives(spark):
-    df = spark.createDataFrame([(3, "a b c d e", "x"), (2, "A b c d e", "y"), (2, "A b c d e", "y"), (9, "other words are in this", None), (None, "a nameless text of its own", None), (None, "a nameless text of its own", None), (None, "and yet another one without name", None), (None, "A b c d e", None)], "doc_id long, text string, fingerprint string")
-    out = sorted((tuple(r) for r in simhash.keep_representatives(df).collect()), key=str)
-    assert out == [(2, "A b c d e", "y"), (9, "other words are in this", None), (None, "A b c d e", None), (None, "a nameless text of its own", None), (None, "and yet another one without name", None)]
-
-
 def test_split_tiles_lose_no_link(spark, monkeypatch):
     r = random.Random(6)
     base = [r.getrandbits(64) for _ in range(30)]
