@@ -1,22 +1,24 @@
 """Removal of every byte covered by a long string that also starts earlier, by a distributed sparse suffix array.
 
-Order: rows by id, then by text; in a row by position. A *window* is a string of ``LENGTH`` bytes inside one
-text; it is removed if an equal window starts earlier.
+Order: rows by id, then by a hash of their text, then by text; in a row by position. A *window* is a string of ``LENGTH``
+bytes inside one text; it is removed if an equal window starts earlier.
 
 1. Anchors. Each window selects the least-hashed of its ``SPAN`` grams (leftmost of equals), so equal windows
    select equal anchors at equal offsets. The windows of one anchor are neighbours and form a *unit*.
-2. Units are range-partitioned by anchor and unit hash under sampled splitters and sorted. Equal units: all but
-   the first are removed whole. Units whose anchor stands nowhere else leave here.
-3. What is left are units of repeated anchors whose contents differ. Their suffixes are range-partitioned by the
-   tokens at their anchor under the same splitters; each bucket is sorted by multikey quicksort, eight bytes a
-   character, and neighbours are compared over all ``LENGTH`` bytes.
-4. Boundaries. A splitter is a whole token string, so equal suffixes always meet in one bucket and no run of equal
-   neighbours crosses a boundary. Anchors that the sample shows in many texts (a hot passage) would fill a bucket: their
-   units and suffixes are dealt over all buckets by their whole content instead. Whether such an anchor repeats in
-   another bucket, the one comparison that then crosses boundaries, is answered by the sample: it does.
-
-Equal units and equal suffixes are combined in each map task before every exchange, so a passage that stands in a third
-of all rows sends one row a task. The text is exchanged once, by id; all three passes over it read that exchange.
+2. Units are range-partitioned by the leading bytes at their anchor, then by the anchor and by their content, under sampled
+   splitters, and sorted. Equal units (128 bits of content hash beside the anchor's): all but the first are removed whole.
+   Units whose anchor stands nowhere else leave here.
+3. What is left are units of repeated anchors whose contents differ. Their suffixes are range-partitioned under the same
+   splitters; each bucket is sorted by multikey quicksort, eight bytes a character, and neighbours are compared over all
+   ``LENGTH`` bytes.
+4. Boundaries. Equal units never part, but a splitter may cut the units of one anchor (a hot passage is cut by many, in
+   proportion to its share of the sample). Such an anchor stands on both sides of a boundary: it is taken to repeat with
+   other content, and its suffixes go one by one by their own content, so equal ones still meet.
+
+Equal units and equal suffixes are combined in each map task before every exchange; what that removes leaves the task as
+maximal ranges of a text, packed, so a passage that stands in a third of all rows sends a few numbers a row. Rows with the id
+and text of another are removed without any search. The text is exchanged once, by id and hash; all three passes over it read
+that exchange.
 """
 
 from __future__ import annotations
@@ -39,12 +41,15 @@ GRAM = LENGTH - SPAN + 1
 PIECE = 1 << 19
 #: Rows sampled for splitters, and anchors kept of each.
 SAMPLE_ROWS, SAMPLE_ANCHORS = 2000, 256
-#: An anchor in so many texts of the sample is hot.
-HOT_TEXTS = 12
-#: Sorts a null id after all others.
+#: Bytes of text for which there is a bucket at least.
+BUCKET_BYTES = 1 << 28
+#: Stands for a null id.
 LAST = (1 << 63) - 1
-_WHOLE, _FINE, _PLAIN = 1, 2, 0
+_WHOLE, _FINE = 1, 2
 _FLUSH = 2_000_000
+_KEYS = ["id", "tag"]
+_SENT = "bucket int, units binary, ranges binary"
+_RANGES = "id long, tag long, seq byte, start long, end long, mark byte"
 U = np.uint64
 
 
@@ -61,7 +66,7 @@ def pieces(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(anchor, first window, last window, anchor hash, unit hash) of each unit, ascending; positions in ``data``."""
+    """(anchor, first window, last window, anchor hash) of each unit, ascending; positions in ``data``."""
     n = len(data) - LENGTH + 1
     if n < 1:
         return None
@@ -106,145 +111,197 @@ def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...] | N
         anchor, start, end = map(np.concatenate, zip(*found, strict=True))
         order = np.argsort(start, kind="stable")
         anchor, start, end = anchor[order], start[order], end[order]
-    unit = tb.range_hash(tb.prefix_hashes(data, 1), start, end + LENGTH, 1) ^ (anchor - start).astype(U)
-    return anchor, start, end, gram[anchor], tb.mix(unit)
+    return anchor, start, end, gram[anchor]
 
 
-def _pack(anchor: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (anchor << 14) | ((anchor - start) << 8) | ((anchor - end) << 2)
+def leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position, as a number that sorts like them."""
+    return np.ndarray(len(data) - 7, ">u8", data, strides=(1,))[at].astype(U)
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    anchor = packed >> 14
-    return anchor, anchor - ((packed >> 8) & 63), anchor - ((packed >> 2) & 63), packed & 3
+def contents(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the bytes from ``start`` to ``end``, as two numbers."""
+    import xxhash
 
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]), ">u8").reshape(-1, 2).astype(U)
+    return both[:, 0].copy(), both[:, 1].copy()
 
-class Splitters:
-    """Anchor hashes that cut the anchors into even ranges, and the hashes of hot anchors."""
-
-    def __init__(self, sample: np.ndarray, hot: np.ndarray, n: int):
-        self.n, self.hot = n, hot
-        self.edges = sample[np.arange(1, n) * len(sample) // n] if len(sample) else np.zeros(0, U)
-
-    def is_hot(self, h: np.ndarray) -> np.ndarray:
-        return np.isin(h, self.hot)
 
-    def bucket(self, h: np.ndarray, content: np.ndarray) -> np.ndarray:
-        """Range of the anchor; of a hot anchor, the bucket of its content."""
-        return np.where(self.is_hot(h), content % U(self.n), np.searchsorted(self.edges, h, "right").astype(U)).astype(np.int32)
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
 
-def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by key, and in it where each run of equal keys starts."""
-    order = np.argsort(key, kind="stable")
-    return order, np.append(True, key[order][1:] != key[order][:-1])
-
-
-def _by_bucket(bucket: np.ndarray, send) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for part in np.split(order, edge[1:]) if len(order) else []:
-        yield int(bucket[part[0]]), send(part)
+class Splitters:
+    """Cuts of the order (leading bytes, anchor, content) into even ranges, and the anchors that they cut."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        """``sample``: distinct (leading bytes, anchor, two halves of the content) rows in order."""
+        self.n = n
+        self.edges = sample[np.arange(1, n) * len(sample) // n] if len(sample) else np.zeros((0, 4), U)
+        self.cut = np.unique(self.edges[:, 1])
+
+    def is_cut(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.cut)
+
+    def slices(self, *keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of rows sorted by ``keys``; equal rows are in one bucket."""
+        at = 0
+        for bucket, edge in enumerate(self.edges):
+            lo, hi = at, len(keys[0])
+            for key, value in zip(keys, edge, strict=True):
+                lo, hi = lo + int(np.searchsorted(key[lo:hi], value, "left")), lo + int(np.searchsorted(key[lo:hi], value, "right"))
+            if hi > at:
+                yield bucket, at, hi
+            at = hi
+        if at < len(keys[0]):
+            yield len(self.edges), at, len(keys[0])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, n: int, carry: list[str]) -> DataFrame:
-    """(id, seq, text, _0, _1, …): the texts by id in ``n`` partitions, rows of one id numbered in the order of their texts, with the columns to carry.
+    """(id, tag, seq, copy, text, _0, _1, …): the texts by id and text hash in ``n`` partitions, in order, with the columns to carry.
 
-    All columns go through every pass, so that all passes read one exchange.
+    The last bit of ``tag`` marks a null id. ``seq`` numbers unequal texts of one id and tag, ``copy`` marks a row that repeats
+    the one before. All columns go through every pass, so that all passes read one exchange.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
-    by_id = Window.partitionBy("id").orderBy("text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tag = F.xxhash64(text).bitwiseAND(F.lit(-2)) + F.col(id_col).isNull().cast("long")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), tag.alias("tag"), text.alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    by_key = Window.partitionBy(_KEYS).orderBy("text")
+    seq, copy = (F.dense_rank().over(by_key) - 1).cast("byte"), F.coalesce(F.lag("text").over(by_key) == F.col("text"), F.lit(False))
     carried = [f"_{k}" for k in range(len(carry))]
-    return rows.repartition(n, "id").select("id", (F.row_number().over(by_id) - 1).alias("seq"), "text", *carried)
+    return rows.repartition(n, *_KEYS).select(*_KEYS, seq.alias("seq"), copy.alias("copy"), "text", *carried)
 
 
-def _splitters(docs: DataFrame, text_col: str, n: int) -> Splitters:
-    """Splitters for ``n`` buckets from the anchors of about SAMPLE_ROWS texts."""
+def _splitters(docs: DataFrame, text_col: str) -> Splitters:
+    """Splitters from the anchors of about SAMPLE_ROWS texts, for a bucket a shuffle partition, or a BUCKET_BYTES of text if those are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in tb.rows_of(batch.column(0)):
-                own = [u[3] for data, bounds, _, _ in pieces([row]) if (u := units_of(data, bounds))]
+                own = []
+                for data, bounds, _, _ in pieces([row]):
+                    if (found := units_of(data, bounds)) is not None:
+                        anchor, start, end, h = found
+                        # the same anchors are kept of every text that has them
+                        least = np.argsort(tb.mix(h), kind="stable")[:SAMPLE_ANCHORS]
+                        own.append(np.stack([leads(data, anchor[least]), h[least], *contents(data, start[least], end[least] + LENGTH)], 1))
                 if own:
-                    own = np.unique(np.concatenate(own))
-                    # the same anchors are kept of every text that has them
-                    own = own[np.argsort(tb.mix(own))[:SAMPLE_ANCHORS]]
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
+                    table = np.concatenate(own)
+                    table = table[np.argsort(tb.mix(table[:, 1]), kind="stable")[:SAMPLE_ANCHORS]]
+                    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["x"])
 
     texts = docs.select(text_col)
-    share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    share = min(1.0, SAMPLE_ROWS / max(1, rows))
     sample = texts if share == 1 else texts.sample(False, share, 7)
-    h = np.sort(np.array([r.h for r in sample.mapInArrow(run, "h long").collect()], np.int64).view(U))
-    found, times = np.unique(h, return_counts=True)
-    return Splitters(h, found[times >= HOT_TEXTS], n)
+    # at most about SAMPLE_ROWS times SAMPLE_ANCHORS rows of four numbers
+    found = np.frombuffer(b"".join(r.x for r in sample.mapInArrow(run, "x binary").collect()), U).reshape(-1, 4)
+    found = found[np.lexsort(found.T[::-1])]
+    return Splitters(found[_changes(*found.T)], n)
+
+
+def _sent(blobs: list[tuple[int, bytes]], ranges: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """A batch of packed units and packed ranges, each with its bucket."""
+    bucket = pa.array([b for b, _ in blobs + ranges], pa.int32())
+    units = pa.array([x for _, x in blobs] + [None] * len(ranges), pa.binary())
+    return pa.RecordBatch.from_arrays([bucket, units, pa.array([None] * len(blobs) + [x for _, x in ranges], pa.binary())], ["bucket", "units", "ranges"])
+
+
+def _pack_ranges(n: int, ids: np.ndarray, tags: np.ndarray, seqs: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """Ranges to remove, for any bucket that will hand them on."""
+    return [(int(tb.mix(tags[:1].view(U))[0] % U(n)), tb.pack(ids, tags, seqs, start, end))] if len(ids) else []
+
 
+def _marked(ids: np.ndarray, tags: np.ndarray, seqs: np.ndarray, start: np.ndarray, end: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(c.astype(t)) for c, t in zip((ids, tags, seqs, start, end, mark), ("i8", "i8", "i1", "i8", "i8", "i1"), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["id", "tag", "seq", "start", "end", "mark"])
 
-def _repeated_units(texts: DataFrame, splitters: Splitters, n: int) -> DataFrame:
-    """(id, seq, packed): every unit whose anchor stands elsewhere too, marked whole (removed), fine (to be compared) or plain."""
-    to_list = "bucket int, id long, seq int, packed long, blob binary"
-    names = ["bucket", "id", "seq", "packed", "blob"]
+
+def _unpacked(batches: Iterator[pa.RecordBatch], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Hands on the ranges of what ``_sent`` made and gathers the units in ``blobs``."""
+    for batch in batches:
+        blobs += batch.column(1).drop_null().to_pylist()
+        for blob in batch.column(2).drop_null():
+            found = tb.unpack(blob.as_py())
+            yield _marked(*found, np.full(len(found[0]), _WHOLE))
+
+
+def _repeated_units(texts: DataFrame, splitters: Splitters) -> DataFrame:
+    """(id, tag, seq, start, end, mark): ranges that are removed whole, and units to be compared."""
+    n = splitters.n
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        keys: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, seqs, packed, h, unit = map(np.concatenate, zip(*held, strict=True))
+            owner, start, end, lead, h, u, v = map(np.concatenate, zip(*held, strict=True))
+            ids, tags, seqs = map(np.concatenate, zip(*keys, strict=True))
             held.clear()
-            # texts come in order of id and number, so the first of equal units is the earliest
-            order, new = _first_of(tb.mix(h) ^ unit)
+            keys.clear()
+            # rows come in their order and sorting is stable, so the first of equal units is the earliest
+            order = np.lexsort((v, u, h, lead))
+            new = _changes(lead[order], h[order], u[order], v[order])
             first, rest = order[new], order[~new]
-            again = np.append(~new[1:], False)[new].astype(np.uint8)
-            blobs = list(_by_bucket(splitters.bucket(h[first], unit[first]), lambda x: tb.pack(h[first[x]], unit[first[x]], ids[first[x]], seqs[first[x]], packed[first[x]], again[x])))
-            yield rows(blobs, ids[rest], seqs[rest], packed[rest] | _WHOLE)
+            again = np.append(~new[1:], False)[new]
 
+            def send(x: np.ndarray, more: np.ndarray) -> bytes:
+                own = owner[x]
+                return tb.pack(h[x], u[x], v[x], ids[own], tags[own], seqs[own], start[x], (end - start)[x].astype(np.int16), more)
+
+            blobs = [(b, send(first[lo:hi], again[lo:hi])) for b, lo, hi in splitters.slices(lead[first], h[first], u[first], v[first])]
+            s, e, o = _ranges(start[rest], end[rest], owner[rest])
+            yield _sent(blobs, _pack_ranges(n, ids[o], tags[o], seqs[o], s, e))
+
+        rows = 0
         for batch in batches:
-            id_of, seq_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for data, bounds, row, offset in pieces(tb.rows_of(batch.column(2))):
+            fresh = np.flatnonzero(~batch.column(3).to_numpy(zero_copy_only=False))
+            id_of, tag_of, seq_of = (batch.column(c).to_numpy()[fresh] for c in range(3))
+            for data, bounds, row, offset in pieces(tb.rows_of(batch.column(4).take(pa.array(fresh)))):
                 if (found := units_of(data, bounds)) is None:
                     continue
-                piece = np.searchsorted(bounds, found[0], "right") - 1
+                anchor, start, end, h = found
+                piece = np.searchsorted(bounds, anchor, "right") - 1
                 shift = offset[piece] - bounds[piece]
-                held.append((id_of[row[piece]], seq_of[row[piece]], _pack(found[0] + shift, found[1] + shift, found[2] + shift), found[3], found[4]))
+                held.append((rows + piece, start + shift, end + shift + LENGTH, leads(data, anchor), h, *contents(data, start, end + LENGTH)))
+                keys.append((id_of[row], tag_of[row], seq_of[row]))
+                rows += len(row)
                 if sum(len(x[0]) for x in held) > _FLUSH:
                     yield from flush()
+                    rows = 0
         if held:
             yield from flush()
 
-    def rows(blobs: list[tuple[int, bytes]], ids: np.ndarray, seqs: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-        m = len(ids)
-        spread = (tb.mix(ids.view(U)) % U(n)).astype(np.int32)
-        bucket = np.concatenate([np.array([b for b, _ in blobs], np.int32), spread])
-        own = [pa.array(np.concatenate([np.zeros(len(blobs), x.dtype), x])) for x in (ids, seqs, packed)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *own, pa.array([x for _, x in blobs] + [None] * m, pa.binary())], names)
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
-        for batch in batches:
-            blob = batch.column(4)
-            blobs += blob.drop_null().to_pylist()
-            if blob.null_count:
-                yield pa.RecordBatch.from_arrays([c.filter(blob.is_null()) for c in batch.columns[1:4]], names[1:4])
+        yield from _unpacked(batches, blobs)
         if not blobs:
             return
-        h, unit, ids, seqs, packed, again = tb.unpack_all(blobs)
-        del blobs
-        order, new = _first_of(h)
-        several = ~(new & np.append(new[1:], True)) | (again[order] > 0) | splitters.is_hot(h[order])
-        keep = order[several]
-        h, unit, ids, seqs, packed = (x[keep] for x in (h, unit, ids, seqs, packed))
-        order = np.lexsort((packed, seqs, ids, unit, h))
-        h, unit, ids, seqs, packed = (x[order] for x in (h, unit, ids, seqs, packed))
-        if not len(h):
+        h, u, v, ids, tags, seqs, start, size, again = tb.unpack_all(blobs)
+        blobs.clear()
+        order = np.argsort(h, kind="stable")
+        new = _changes(h[order])
+        keep = order[~(new & np.append(new[1:], True)) | again[order] | splitters.is_cut(h[order])]
+        order = keep[np.lexsort([x[keep] for x in (start, seqs, tags, ids, v, u, h)])]
+        if not len(order):
             return
-        same = np.append(False, h[1:] == h[:-1])
-        twin = same & np.append(False, unit[1:] == unit[:-1])
-        group = np.cumsum(~same) - 1
-        varied = (np.bincount(group, ~twin) > 1)[group] | splitters.is_hot(h)
-        mark = np.where(twin, _WHOLE, np.where(varied, _FINE, _PLAIN))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seqs), pa.array(packed | mark)], names[1:4])
+        h, u, v, ids, tags, seqs, start, size = (x[order] for x in (h, u, v, ids, tags, seqs, start, size))
+        new = _changes(h)
+        twin = ~_changes(h, u, v)
+        group = np.cumsum(new) - 1
+        varied = (np.bincount(group, ~twin) > 1)[group] | splitters.is_cut(h)
+        mark = np.where(twin, _WHOLE, np.where(varied, _FINE, 0))
+        some = mark > 0
+        yield _marked(*(x[some] for x in (ids, tags, seqs, start, start.astype(np.int64) + size, mark)))
 
-    sent = texts.mapInArrow(combine, to_list)
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(settle, "id long, seq int, packed long")
+    sent = texts.mapInArrow(combine, _SENT)
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(settle, _RANGES)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,98 +359,90 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, seq, text, cuts, _0, _1, …): each text with the byte ranges (seq, start, end) whose union is removed of the rows of its id, and carried columns."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = _splitters(docs, text_col, n)
+    """(id, tag, seq, copy, text, _0, _1, …, cuts): each text with the byte ranges (seq, start, end) whose union is removed of the rows of its key, and carried columns."""
+    splitters = _splitters(docs, text_col)
+    n = splitters.n
     texts = _texts(docs, id_col, text_col, n, carry or [])
-    units = _repeated_units(texts, splitters, n)
-    listed = units.groupBy("id").agg(F.collect_list(F.struct("seq", "packed")).alias("units"))
-    joined = texts.join(listed, "id").select("id", "seq", "text", "units", *texts.columns[3:])
-    names = ["bucket", "id", "seq", "start", "end", "blob"]
-    to_list = "bucket int, id long, seq int, start long, end long, blob binary"
+    units = _repeated_units(texts, splitters).repartition(n, *_KEYS)
+    listed = units.groupBy(_KEYS).agg(F.collect_list(F.struct("seq", "start", "end", "mark")).alias("units"))
+    joined = texts.join(listed, _KEYS).select(*texts.columns, "units")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, key, ids, seqs, at, size = map(np.concatenate, zip(*(x[:6] for x in held), strict=True))
-            text = np.concatenate([x[6] for x in held])
+            lead, h, u, v, ids, tags, seqs, at, size = map(np.concatenate, zip(*(x[:9] for x in held), strict=True))
+            text = np.concatenate([x[9] for x in held])
             begin = np.cumsum(size) - size
             held.clear()
             # a join may bring rows in any order
-            content = key ^ tb.mix(h)
-            order = np.lexsort((at, seqs, ids, content))
-            new = np.append(True, content[order][1:] != content[order][:-1])
+            order = np.lexsort((at, seqs, tags, ids, v, u, h, lead))
+            new = _changes(lead[order], h[order], u[order], v[order])
             first, rest = order[new], order[~new]
 
-            def send(x: np.ndarray) -> bytes:
-                own = first[x]
+            def send(own: np.ndarray) -> bytes:
                 take = np.repeat(begin[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-                return tb.pack(ids[own], seqs[own], at[own], size[own].astype(np.int32), text[take])
-
-            blobs = list(_by_bucket(splitters.bucket(h[first], key[first]), send))
-            yield ranges(blobs, ids[rest], seqs[rest], at[rest], at[rest] + size[rest])
+                return tb.pack(ids[own], tags[own], seqs[own], at[own], size[own].astype(np.int32), text[take])
+
+            # what is not cut lies in one bucket by its anchor alone
+            alone = ~splitters.is_cut(h[first])
+            keys = lead[first], h[first], np.where(alone, U(0), u[first]), np.where(alone, U(0), v[first])
+            blobs = [(b, send(first[lo:hi])) for b, lo, hi in splitters.slices(*keys)]
+            rest = rest[np.lexsort((at[rest], seqs[rest], tags[rest], ids[rest]))]
+            fresh = _changes(ids[rest], tags[rest], seqs[rest])
+            s, e, o = _ranges(at[rest], (at + size)[rest], np.cumsum(fresh) - 1)
+            row = rest[fresh][o]
+            yield _sent(blobs, _pack_ranges(n, ids[row], tags[row], seqs[row], s, e))
 
         for batch in batches:
-            id_of, seq_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            units, edge = batch.column(3).flatten(), batch.column(3).offsets.to_numpy()
+            id_of, tag_of, seq_of = (batch.column(c).to_numpy() for c in range(3))
+            listed = batch.column(batch.num_columns - 1)
+            units, edge = listed.flatten(), listed.offsets.to_numpy()
             owner = np.repeat(np.arange(len(id_of)), np.diff(edge))
-            u_seq, u_packed = units.field("seq").to_numpy(), units.field("packed").to_numpy()
-            own = u_seq == seq_of[owner]
-            owner, u_packed = owner[own], u_packed[own]
-            _, u_start, u_end, mark = _unpack(u_packed)
+            u_seq, u_start, u_end, mark = (units.field(k).to_numpy() for k in range(4))
+            own = (u_seq == seq_of[owner]) & ~batch.column(3).to_numpy(zero_copy_only=False)[owner]
+            owner, u_start, u_end, mark = owner[own], u_start[own], u_end[own], mark[own]
             whole = mark == _WHOLE
-            s, e, o = _ranges(u_start[whole], u_end[whole] + LENGTH, owner[whole])
-            yield ranges([], id_of[o], seq_of[o], s, e)
+            s, e, o = _ranges(u_start[whole], u_end[whole], owner[whole])
+            if len(o):
+                yield _sent([], _pack_ranges(n, id_of[o], tag_of[o], seq_of[o], s, e))
             fine = np.sort(((owner << 40) | u_start)[mark == _FINE])
             busy = np.unique(owner[mark == _FINE])
-            texts_of = tb.rows_of(batch.column(2).take(pa.array(busy)))
-            for data, bounds, row, offset in pieces(texts_of):
+            for data, bounds, row, offset in pieces(tb.rows_of(batch.column(4).take(pa.array(busy)))):
                 if (found := units_of(data, bounds)) is None:
                     continue
-                anchor, start, end, h, _ = found
+                anchor, start, end, h = found
                 piece = np.searchsorted(bounds, anchor, "right") - 1
                 shift = offset[piece] - bounds[piece]
                 text_row = busy[row[piece]]
                 some = np.isin((text_row << 40) | (start + shift), fine)
-                start, end, h, shift, text_row = (x[some] for x in (start, end, h, shift, text_row))
+                anchor, start, end, h, shift, text_row = (x[some] for x in (anchor, start, end, h, shift, text_row))
                 if not len(start):
                     continue
-                # the suffixes of a unit in one run; those of a hot anchor one by one
-                width = np.where(splitters.is_hot(h), end + 1 - start, 1)
+                # the suffixes of a unit in one run; those of a cut anchor one by one
+                width = np.where(splitters.is_cut(h), end + 1 - start, 1)
                 of = np.repeat(np.arange(len(start)), width)
                 step = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
                 a = start[of] + step
                 b = np.where(width[of] > 1, a, end[of]) + LENGTH
-                key = tb.range_hash(tb.prefix_hashes(data, 1), a, b, 1)
                 size = b - a
                 text = data[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                held.append((h[of], key, id_of[text_row[of]], seq_of[text_row[of]], a + shift[of], size, text))
-                if sum(len(x[6]) for x in held) > 16 * _FLUSH:
+                row = text_row[of]
+                held.append((leads(data, anchor)[of], h[of], *contents(data, a, b), id_of[row], tag_of[row], seq_of[row], a + shift[of], size, text))
+                if sum(len(x[9]) for x in held) > 16 * _FLUSH:
                     yield from flush()
         if held:
             yield from flush()
 
-    def ranges(blobs: list[tuple[int, bytes]], ids: np.ndarray, seqs: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        spread = (tb.mix(ids.view(U)) % U(n)).astype(np.int32)
-        bucket = np.concatenate([np.array([b for b, _ in blobs], np.int32), spread])
-        own = [pa.array(np.concatenate([np.zeros(len(blobs), x.dtype), x])) for x in (ids, seqs, start, end)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), *own, pa.array([x for _, x in blobs] + [None] * len(ids), pa.binary())], names)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
-        for batch in batches:
-            blob = batch.column(5)
-            blobs += blob.drop_null().to_pylist()
-            if blob.null_count:
-                yield pa.RecordBatch.from_arrays([c.filter(blob.is_null()) for c in batch.columns[1:5]], names[1:5])
+        yield from _unpacked(batches, blobs)
         if not blobs:
             return
-        ids, seqs, at, size, text = tb.unpack_all(blobs)
-        del blobs
+        ids, tags, seqs, at, size, text = tb.unpack_all(blobs)
+        blobs.clear()
         begin = np.cumsum(size, dtype=np.int64) - size
-        order = np.lexsort((at, seqs, ids))
+        order = np.lexsort((at, seqs, tags, ids))
         width = (size - LENGTH + 1)[order].astype(np.int64)
         of = np.repeat(order, width)
         step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
@@ -407,12 +456,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh[1:] = (of[1:] != of[:-1]) | (step[1:] != step[:-1] + 1)
         lo = np.flatnonzero(fresh)
         a, b, of = step[lo], step[np.append(lo[1:], len(step)) - 1] + LENGTH, of[lo]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[of], seqs[of], at[of] + a, at[of] + b)], names[1:5])
+        yield _marked(ids[of], tags[of], seqs[of], at[of] + a, at[of] + b, np.full(len(of), _WHOLE))
 
-    sent = joined.mapInArrow(suffixes, to_list)
-    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "id long, seq int, start long, end long")
-    cuts = found.groupBy("id").agg(F.collect_list(F.struct("seq", "start", "end")).alias("cuts"))
-    return texts.join(cuts, "id", "left").select("id", "seq", "text", "cuts", *texts.columns[3:])
+    sent = joined.mapInArrow(suffixes, _SENT)
+    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, _RANGES)
+    cuts = found.repartition(n, *_KEYS).groupBy(_KEYS).agg(F.collect_list(F.struct("seq", "start", "end")).alias("cuts"))
+    return texts.join(cuts, _KEYS, "left").select(*texts.columns, "cuts")
 
 
 def _merged(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], int, int]:
@@ -427,13 +476,17 @@ def _merged(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[byt
 
 
 def _row_ranges(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-    """Row number, text and its ranges of a batch of (id, seq, text, cuts)."""
-    seq = batch.column(1).to_numpy()
-    cuts, edge = batch.column(3), batch.column(3).offsets.to_numpy()
-    flat = cuts.values
-    c_seq, c_start, c_end = (flat.field(k).to_numpy() for k in ("seq", "start", "end"))
+    """Row number, text and its ranges of a batch of ``repeated_ranges``; of a copy the whole text."""
+    seq, copy = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+    cuts = batch.column(batch.num_columns - 1)
+    edge, flat = cuts.offsets.to_numpy(), cuts.values
+    c_seq, c_start, c_end = (flat.field(k).to_numpy() for k in range(3))
     empty = cuts.is_null().to_numpy(zero_copy_only=False)
-    for i, text in enumerate(tb.rows_of(batch.column(2))):
+    for i, text in enumerate(tb.rows_of(batch.column(4))):
+        if copy[i]:
+            whole = np.array([len(text)] if len(text) >= LENGTH else [], np.int64)
+            yield i, text, whole * 0, whole
+            continue
         part = slice(0, 0) if empty[i] else slice(edge[i], edge[i + 1])
         own = c_seq[part] == seq[i]
         yield i, text, c_start[part][own], c_end[part][own]
@@ -444,8 +497,8 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every text is taken whole as UTF-8 bytes; null is empty. A byte is removed if a string of ``LENGTH`` bytes that covers
     it also starts earlier: in a row of smaller id, or earlier in the same row. Strings are judged on the input and never
-    cross rows. Rows that share an id are ordered by text, so the second of two equal rows is a copy; a null id comes last.
-    Texts of fewer than ``LENGTH`` bytes stay whole. Other columns are ignored, whatever their names. No rows: no rows.
+    cross rows. Rows that share an id are ordered by the hash of their text, so the second of two equal rows is a copy; a null id is
+    ordered like the largest id there is. Texts of fewer than ``LENGTH`` bytes stay whole. Other columns are ignored, whatever their names. No rows: no rows.
     """
     joined = repeated_ranges(docs, id_col, text_col)
 
@@ -460,10 +513,10 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(text), removed, spans, digest.hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.nullif("id", F.lit(LAST)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = joined.mapInArrow(run, "id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select(F.when(F.col("tag").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -481,9 +534,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = batch.column(batch.num_columns - 1).to_pylist()
+            null = batch.column(batch.num_columns - 2).to_pylist()
             kept = [None if null[i] else b"".join(_merged(t, s, e)[0] if len(s) else [t]).decode("utf-8", "ignore") for i, t, s, e in _row_ranges(batch)]
-            columns = dict(zip(others, batch.columns[4:-1], strict=True)) | {text_col: pa.array(kept, pa.string())}
+            columns = dict(zip(others, batch.columns[5:-2], strict=True)) | {text_col: pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in columns_of], columns_of)
 
     columns_of = docs.columns

@@ -136,7 +136,9 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one byte string."""
+    """Arrays as one byte string, signed 64-bit numbers as 32-bit ones where they fit."""
+    small = np.iinfo(np.int32)
+    arrays = [a.astype(np.int32) if a.dtype == np.int64 and len(a) and small.min <= a.min() and a.max() <= small.max else a for a in arrays]
     heads = [f"{a.dtype.str}:{len(a)}" for a in arrays]
     return ";".join(heads).encode() + b"\n" + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 

@@ -3,16 +3,23 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodestone.llm import suffix_dedup as sd
 
 SCHEMA = "doc_id long, text string"
 
 
+def place(row):
+    """The order of rows: id, null as the largest, then the signed text hash with its last bit for null ids."""
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+    return sd.LAST if row[0] is None else row[0], ((h - (1 << 64) if h >> 63 else h) & -2) + (row[0] is None), row[1] or ""
+
+
 def brute(rows):
     """(n_bytes, n_removed, n_spans, sha) by id order from a set of all strings of the length seen so far."""
     seen, out = set(), []
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+    for i, text in sorted(rows, key=place):
         b = (text or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - sd.LENGTH + 1):
@@ -118,3 +125,27 @@ def test_order_of_rows_does_not_matter(spark):
             assert {x.doc_id: len(x.text) for x in sd.remove_repeats(df).collect()} == want
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_rows_of_one_id(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passage = say(30)
+    texts = [say(40) + (passage if i % 3 else "") for i in range(1500)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:700]] + [(None, texts[0])] * 500 + [(sd.LAST, texts[1]), (sd.LAST, say(40))]
+    assert rank(got(spark, rows)) == rank(brute(rows))
+
+
+def test_splitters():
+    r = np.random.default_rng(4)
+    sample = np.unique(r.integers(0, 9, (400, 4)).astype(np.uint64), axis=0)
+    cuts = sd.Splitters(sample, 12)
+    rows = r.integers(0, 9, (3000, 4)).astype(np.uint64)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    bucket = np.full(len(rows), -1)
+    for b, lo, hi in cuts.slices(*rows.T):
+        bucket[lo:hi] = b
+    assert bucket.tolist() == [sum(tuple(e) < tuple(x) for e in cuts.edges.tolist()) for x in rows.tolist()]
+    for h in set(range(9)) - set(cuts.cut.tolist()):
+        whole = {(tuple(x[:2]), b) for x, b in zip(rows.tolist(), bucket.tolist()) if x[1] == h}
+        assert len(whole) == len({k for k, _ in whole})
