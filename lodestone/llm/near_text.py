@@ -240,8 +240,8 @@ def verified(groups: DataFrame, size: int = SIZE, similarity: float = SIMILARITY
     return dealt.mapInArrow(lambda batches: _by_group(batches, 3, work), "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, x, y, least) for every row of ``docs``: its id, its ``row_key``, and the least (id, x, y) reachable over links of ``similarity`` or more.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(id, x, y, node) for every row of ``docs``: its id, its ``row_key`` and its set of shingles; and (node, least) for every set: the least (id, x, y) reachable over links of ``similarity`` or more.
 
     A-Z are lower-cased; similarity is the Jaccard similarity of the sets of ``size``-word shingles; a text of fewer words is one
     shingle; empty, blank and null texts are equal. Rows of a null id are linked like others but are never ``least``, which is null
@@ -268,8 +268,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     groups = texts.mapInArrow(named, "node long, text string").join(members, "node").dropDuplicates(["node"]).select("root", "node", "text")
     stars = connected_components(verified(materialize(groups, "groups"), size, similarity))
-    least = labelled(nodes.select("node", "least"), stars).withColumnRenamed("component", "least")
-    return rows.join(least, "node").select("id", "x", "y", "least")
+    return rows.select("id", "x", "y", "node"), labelled(nodes.select("node", "least"), stars).withColumnRenamed("component", "least")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
@@ -278,8 +277,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows of the same id and text count once. Where an id has several texts, each is judged by itself, the text of the least hash
     first. A null id names no document: such rows are not judged and stay once for each distinct text.
     """
-    found = classes(docs, id_col, text_col, size, similarity)
-    keep = found.where("id is null or (least.id = id and least.x = x and least.y = y)").select("x", "y").distinct()
+    rows, found = classes(docs, id_col, text_col, size, similarity)
+    keep = found.where("least is not null").select("least.x", "least.y").union(rows.where("id is null").select("x", "y")).distinct()
     x, y = unused(docs.columns, "x"), unused(docs.columns, "y")
     key = row_key(id_col, text_col)
     kept = docs.withColumns({x: key["x"], y: key["y"]}).join(keep.select(F.col("x").alias(x), F.col("y").alias(y)), [x, y], "left_semi")

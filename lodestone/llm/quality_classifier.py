@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .samples import labelled_texts
 
 #: Bounds of the fitting sample: labelled rows, and bytes of each. Longer labelled rows are not fitted on, but are scored.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32_768
@@ -153,11 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of the labelled rows whose crc32 of the id as text is not 1 modulo 3: of these the SAMPLE_ROWS of least id hash, up to SAMPLE_BYTES each."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y is not null")
     known = known.where("pmod(crc32(cast(cast(_id as string) as binary)), 3) != 1").groupBy("_id").agg((F.avg("_y") >= 0.5).alias("_y"))
-    some = known.orderBy(F.expr("xxhash64(_id)"), "_id").limit(SAMPLE_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # at most SAMPLE_ROWS rows of two numbers
-    rows = texts.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(some), "_id").collect()
-    rows = sorted({(r["_id"], r["_text"], r["_y"]) for r in rows})[: 2 * SAMPLE_ROWS]
+    rows = labelled_texts(docs, known, id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES)
     return Model([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float64))
 
 

@@ -13,7 +13,8 @@ bytes inside one text; it is removed if an equal window starts earlier.
    ``LENGTH`` bytes.
 4. Boundaries. Equal units never part, but a splitter may cut the units of one anchor (a hot passage is cut by many, in
    proportion to its share of the sample). Such an anchor stands on both sides of a boundary: it is taken to repeat with
-   other content, and its suffixes go one by one by their own content, so equal ones still meet.
+   other content. The suffixes of cut anchors, and of those that the sample shows with many contents, would fill a bucket: they
+   are dealt over all buckets one by one by their own content, so equal ones still meet.
 
 Equal units and equal suffixes are combined in each map task before every exchange; what that removes leaves the task as
 maximal ranges of a text, packed, so a passage that stands in a third of all rows sends a few numbers a row. Rows with the id
@@ -41,6 +42,8 @@ GRAM = LENGTH - SPAN + 1
 PIECE = 1 << 19
 #: Rows sampled for splitters, and anchors kept of each.
 SAMPLE_ROWS, SAMPLE_ANCHORS = 2000, 256
+#: An anchor with so many contents in the sample is hot.
+HOT = 8
 #: Bytes of text for which there is a bucket at least.
 BUCKET_BYTES = 1 << 28
 #: Stands for a null id.
@@ -137,23 +140,28 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 class Splitters:
-    """Cuts of the order (leading bytes, anchor, content) into even ranges, and the anchors that they cut."""
+    """Cuts of the order (leading bytes, anchor, content) into even ranges, the anchors that they cut, and the hot ones."""
 
     def __init__(self, sample: np.ndarray, n: int):
         """``sample``: distinct (leading bytes, anchor, two halves of the content) rows in order."""
         self.n = n
         self.edges = sample[np.arange(1, n) * len(sample) // n] if len(sample) else np.zeros((0, 4), U)
         self.cut = np.unique(self.edges[:, 1])
+        anchors, times = np.unique(sample[:, 1], return_counts=True)
+        self.hot = np.union1d(self.cut, anchors[times >= HOT])
 
     def is_cut(self, h: np.ndarray) -> np.ndarray:
         return np.isin(h, self.cut)
 
+    def is_hot(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.hot)
+
     def slices(self, *keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(bucket, from, to) of rows sorted by ``keys``; equal rows are in one bucket."""
+        """(bucket, from, to) of rows sorted by ``keys``, the first of an edge's; equal rows are in one bucket."""
         at = 0
         for bucket, edge in enumerate(self.edges):
             lo, hi = at, len(keys[0])
-            for key, value in zip(keys, edge, strict=True):
+            for key, value in zip(keys, edge, strict=False):
                 lo, hi = lo + int(np.searchsorted(key[lo:hi], value, "left")), lo + int(np.searchsorted(key[lo:hi], value, "right"))
             if hi > at:
                 yield bucket, at, hi
@@ -384,10 +392,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 take = np.repeat(begin[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
                 return tb.pack(ids[own], tags[own], seqs[own], at[own], size[own].astype(np.int32), text[take])
 
-            # what is not cut lies in one bucket by its anchor alone
-            alone = ~splitters.is_cut(h[first])
-            keys = lead[first], h[first], np.where(alone, U(0), u[first]), np.where(alone, U(0), v[first])
-            blobs = [(b, send(first[lo:hi])) for b, lo, hi in splitters.slices(*keys)]
+            hot = splitters.is_hot(h[first])
+            dealt, whole = first[hot], first[~hot]
+            dealt = dealt[np.argsort(u[dealt] % U(n), kind="stable")]
+            edge = np.append(np.flatnonzero(_changes(u[dealt] % U(n))), len(dealt))
+            blobs = [(int(u[dealt[lo]] % U(n)), send(dealt[lo:hi])) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            # any other anchor lies in one bucket
+            blobs += [(b, send(whole[lo:hi])) for b, lo, hi in splitters.slices(lead[whole], h[whole])]
             rest = rest[np.lexsort((at[rest], seqs[rest], tags[rest], ids[rest]))]
             fresh = _changes(ids[rest], tags[rest], seqs[rest])
             s, e, o = _ranges(at[rest], (at + size)[rest], np.cumsum(fresh) - 1)
@@ -419,8 +430,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 anchor, start, end, h, shift, text_row = (x[some] for x in (anchor, start, end, h, shift, text_row))
                 if not len(start):
                     continue
-                # the suffixes of a unit in one run; those of a cut anchor one by one
-                width = np.where(splitters.is_cut(h), end + 1 - start, 1)
+                # the suffixes of a unit in one run; those of a hot anchor one by one
+                width = np.where(splitters.is_hot(h), end + 1 - start, 1)
                 of = np.repeat(np.arange(len(start)), width)
                 step = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
                 a = start[of] + step

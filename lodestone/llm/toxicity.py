@@ -1,7 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
 One weight vector is shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k) with ascending theta. The expected
-severity is the sum of these over k. Features are the distinct lower-cased words of the whole text.
+severity is the sum of these over k. Features are the distinct lower-cased words of the whole text, and the stems of STEM letters on
+which it has two words or more: in languages that build many words on a stem each is rare by itself.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .samples import labelled_texts
 
 #: Bounds of the fitting sample: labelled rows, and bytes of each. Longer labelled rows are not fitted on, but are scored.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32_768
@@ -23,11 +25,18 @@ SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32_768
 FEATURES, GRADES = 2000, 3
 #: Deviations from chance beyond which a word is a feature.
 SURE = 4.0
+#: What a toxic row weighs in the loss beside a clean one, of which there are many more.
+WEIGHT = 5.0
+#: Letters of a stem; words longer than it by two have it.
+STEM = 5
 WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The distinct lower-cased words of a text, and ``stem*`` for each stem of several of them."""
+    words = set(WORD.findall(text.lower()))
+    stems = Counter(w[:STEM] for w in words if len(w) >= STEM + 2)
+    return words | {f"{x}*" for x, n in stems.items() if n > 1}
 
 
 def _contrast(rows: list[set[str]], bad: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -76,13 +85,13 @@ class Model:
         found = [[ids[w] for w in r if w in ids] for r in rows]
         row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
         column = np.array([k for f in found for k in f], np.int64)
-        above = grade[:, None] > np.arange(top)
+        above, share = grade[:, None] > np.arange(top), np.where(grade > 0, WEIGHT, 1.0)[:, None] / len(rows)
         weight, self.theta = np.zeros(len(ids)), np.log((1.5 - above.mean(0)) / (above.mean(0) + 0.5)) + np.arange(top) * 1e-2
         moment = [np.zeros(len(ids)), np.zeros(top)], [np.zeros(len(ids)), np.zeros(top)]
         for step in range(1, rounds + 1):
             z = np.bincount(row, weight[column], minlength=len(rows))
             p = 1 / (1 + np.exp(-np.clip(z[:, None] - self.theta, -30, 30)))
-            g = (p - above) / len(rows)
+            g = (p - above) * share
             total = np.bincount(column, g.sum(1)[row], minlength=len(ids)) + 2e-4 * weight
             for k, d in enumerate((total, -g.sum(0))):
                 moment[0][k] = 0.9 * moment[0][k] + 0.1 * d
@@ -108,11 +117,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the SAMPLE_ROWS labelled rows of least id hash, up to SAMPLE_BYTES each."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y >= 0")
-    some = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.expr("xxhash64(_id)"), "_id").limit(SAMPLE_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # at most SAMPLE_ROWS rows of two numbers
-    rows = texts.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(some), "_id").collect()
-    rows = sorted({(r["_id"], r["_text"], r["_y"]) for r in rows})[: 2 * SAMPLE_ROWS]
+    rows = labelled_texts(docs, known.groupBy("_id").agg(F.max("_y").alias("_y")), id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES)
     return Model([t for _, t, _ in rows], np.array([y for *_, y in rows], np.int64))
 
 

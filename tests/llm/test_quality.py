@@ -107,3 +107,38 @@ def test_forest_finds_outliers():
     assert s[200:].min() > np.quantile(s[:200], 0.99)
     assert qr.Forest(np.zeros((0, 4))).scores(rows).tolist() == [0.5] * 500
     assert qr.Forest(np.zeros((5, 4))).scores(rows).std() < 1e-9
+
+
+def test_forest_as_plain_walks():
+    r = np.random.default_rng(2)
+    rows = np.round(r.normal(size=(300, 4)), 1)
+    forest = qr.Forest(rows, trees=15, size=64, seed=3)
+
+    def harmonic(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def walk(tree, x):
+        column, split, length = tree
+        at = 1
+        while column[at] >= 0:
+            at = 2 * at + int(x[column[at]] >= split[at])
+        return length[at]
+
+    want = [2 ** (-np.mean([walk(t, x) for t in forest.trees]) / harmonic(64)) for x in rows]
+    assert np.allclose(forest.scores(rows), want)
+    far = np.concatenate([rows, [[9.0, -9.0, 9.0, 9.0]]])
+    assert forest.scores(far).argmax() == 300
+
+
+def test_rules_find_stuttered_words(spark):
+    rows, labels = corpus(300)
+    r = random.Random(9)
+    odd = []
+    for i in range(300, 330):
+        words = [w for _ in range(30) for w in ["".join(r.choice("mnopq") for _ in range(5))] * r.randint(5, 7)]
+        odd.append((i, " ".join(words), "s", 1))
+    labels += [(i, 0) for i, *_ in odd[:20]]
+    out = {x.doc_id: x for x in qr.judge(spark.createDataFrame(rows + odd, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert not any(out[i].base_failed for i, *_ in odd) and not any(out[i].kept for i, *_ in odd[20:])
+    truth = dict(labels)
+    assert np.mean([x.kept for i, x in out.items() if truth.get(i)]) > 0.95

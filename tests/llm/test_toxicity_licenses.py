@@ -47,6 +47,36 @@ def test_toxicity_edges(spark):
     assert toxicity.score(df.limit(0), none).collect() == []
 
 
+def test_severity_as_plain_sums():
+    rows, labels = corpus()
+    model = toxicity.Model([t for _, t, _ in rows], np.array([g for *_, g in labels]))
+    expected, some = model.severities([t for _, t, _ in rows])
+    assert list(model.theta) == sorted(model.theta) and len(model.theta) == 3
+    for k in range(0, 300, 17):
+        words = {w for w in "".join(c if c.isalnum() or c == "_" else " " for c in rows[k][1].lower()).split()}
+        stems = {w[:5] for w in words if len(w) >= 7}
+        own = words | {f"{s}*" for s in stems if sum(w[:5] == s and len(w) >= 7 for w in words) > 1}
+        z = sum(model.weights.get(w, 0.0) for w in own)
+        above = [1 / (1 + np.exp(t - z)) for t in model.theta]
+        assert np.isclose(expected[k], sum(above)) and np.isclose(some[k], above[0])
+
+    def loss(m):
+        z = np.array([sum(m.weights.get(w, 0.0) for w in toxicity.words_of(t)) for _, t, _ in rows])
+        p = 1 / (1 + np.exp(-(z[:, None] - m.theta)))
+        above = np.array([g for *_, g in labels])[:, None] > np.arange(3)
+        weight = np.where(above[:, :1], toxicity.WEIGHT, 1.0)
+        return -(weight * np.log(np.where(above, p, 1 - p))).sum() / len(rows)
+
+    # the cumulative-link likelihood, far above that of thresholds alone
+    best, kept = loss(model), model.weights
+    model.weights = {}
+    assert best < 0.5 * loss(model)
+    # one weight vector serves all thresholds: a grade more means a higher sum
+    model.weights = kept
+    sums = [np.mean([sum(kept.get(w, 0.0) for w in toxicity.words_of(t)) for _, t, _ in [r for r, l in zip(rows, labels) if l[2] == g]]) for g in range(4)]
+    assert sums == sorted(sums)
+
+
 def common_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
