@@ -2,10 +2,10 @@
 
 Signatures of whole documents lose short items in long documents: an item of 40 shingles wholly inside a document of
 10,000 has a Jaccard similarity of 0.004. So the sketch is taken on the item's side. Items are partitioned by the size of
-their shingle set (powers of two). For a partition of sizes up to u, a document that holds a share t of an item misses
-at most (1 - t) u of its shingles; so of the floor((1 - t) u) + 1 shingles with the least MinHash values one at least
-is in the document. These are the item's probes: a document with a probe is a candidate, and no match is lost. Candidate
-pairs are then counted over all shingles and confirmed on the words themselves.
+their shingle set (powers of two); in each partition of sizes up to u an item's MinHash sketch is its k = 2 ((1 - t) u + 1)
+shingles of least hash. The share of a sketch that stands in a document estimates the containment of the item in it. A document
+that holds a share t of m shingles misses at most (1 - t) m of them, so k - (1 - t) m of the sketch at least are in it: pairs
+under that are dropped, and no match is lost. The other pairs are counted over all shingles and confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -25,38 +25,36 @@ U = np.uint64
 
 
 class Index:
-    """Probes and shingles of a block of items."""
+    """Sketches and shingles of a block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int, threshold: float):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, bytes]], size: int, threshold: float):
+        self.ids = pa.array([i for i, _ in items], pa.int64())
         words = tb.Words([t for _, t in items], lower=True)
-        hashes, data = words.hashes(), words.data.tobytes()
-        n = words.counts
-        self.width = np.minimum(n, size)
-        self.widths = sorted(set(self.width.tolist()) - {0})
-        self.strings: list[dict[int, bytes]] = [{} for _ in items]
+        hashes, n = words.hashes(), words.counts
+        self.data = words.data.tobytes()
+        width = np.minimum(n, size)
         self.total = np.zeros(len(items), np.int64)
-        shingles: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {w: [] for w in self.widths}
-        probes: dict[int, list[np.ndarray]] = {w: [] for w in self.widths}
-        for k in range(len(items)):
-            w = int(self.width[k])
-            if not w:
-                continue
+        self.sketched = np.zeros(len(items), np.int64)
+        self.tables: dict[int, tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]] = {}
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {w: [] for w in sorted(set(width.tolist()) - {0})}
+        for k in np.flatnonzero(width).tolist():
+            w = int(width[k])
             first = np.arange(words.offsets[k], words.offsets[k + 1] - w + 1)
             grams, at = np.unique(tb.gram_hashes(hashes, first, w), return_index=True)
-            self.strings[k] = {g: data[words.starts[f] : words.ends[f + w - 1]] for g, f in zip(grams.tolist(), first[at].tolist(), strict=True)}
             self.total[k] = m = len(grams)
             upper = (1 << int(m).bit_length()) - 1
-            spare = int((1 - threshold) * upper + 1e-9) + 1
-            least = np.argsort(tb.mix(grams ^ U(0xA5A5A5A5)), kind="stable")[:spare]
-            shingles[w].append((grams, np.full(m, k)))
-            probes[w].append(grams[least])
+            sketch = np.zeros(m, bool)
+            sketch[np.argsort(tb.mix(grams ^ U(0xA5A5A5A5)), kind="stable")[: 2 * (int((1 - threshold) * upper + 1e-9) + 1)]] = True
+            self.sketched[k] = sketch.sum()
+            parts[w].append((grams, np.full(m, k), words.starts[first[at]], words.ends[first[at] + w - 1], sketch))
         self.need = np.ceil(threshold * self.total - 1e-9).astype(np.int64)
-        self.tables = {}
-        for w in self.widths:
-            grams, owner = map(np.concatenate, zip(*shingles[w], strict=True))
-            order = np.argsort(grams, kind="stable")
-            self.tables[w] = (np.unique(np.concatenate(probes[w])), grams[order], owner[order])
+        #: The least of a sketch that a document with ``need`` shingles has.
+        self.least = np.maximum(1, self.sketched - (self.total - self.need))
+        for w, found in parts.items():
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            grams, owner, start, end, sketch = (c[order] for c in columns)
+            self.tables[w] = (grams[sketch], owner[sketch]), (grams, owner, start, end)
 
     @staticmethod
     def _held(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -68,43 +66,68 @@ class Index:
         at = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
         return maybe[table[at] == h[maybe]]
 
+    @staticmethod
+    def _meet(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (place in ``h``, place in the ascending ``table``) of equal values."""
+        lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+        of = np.repeat(np.arange(len(h)), hi - lo)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[of]
+
     def search(self, rows: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(row, item, common shingles) of each match among ``rows``."""
         words = tb.Words(rows, lower=True)
         if not len(words.starts):
             return
-        hashes = words.hashes()
-        for w in self.widths:
+        hashes, many = words.hashes(), len(self.total)
+        for w, (sketch, shingles) in self.tables.items():
             first, last, text = words.windows(w)
             if not len(first):
                 continue
-            probes, grams, owner = self.tables[w]
             h = tb.gram_hashes(hashes, first, w)
-            candidate = np.zeros(len(rows), bool)
-            candidate[text[self._held(probes, h)]] = True
-            if not candidate.any():
+
+            def distinct(own: np.ndarray) -> np.ndarray:
+                order = np.lexsort((h[own], text[own]))  # noqa: B023
+                own = own[order]
+                return own[np.append(True, (h[own][1:] != h[own][:-1]) | (text[own][1:] != text[own][:-1]))[: len(own)]]  # noqa: B023
+
+            own = distinct(self._held(sketch[0], h))
+            if not len(own):
+                continue
+            of, at = self._meet(sketch[0], h[own])
+            pairs, hits = np.unique(text[own][of] * many + sketch[1][at], return_counts=True)
+            pairs = pairs[hits >= self.least[pairs % many]]
+            if not len(pairs):
                 continue
+            candidate = np.zeros(len(rows), bool)
+            candidate[pairs // many] = True
             own = np.flatnonzero(candidate[text])
-            own = own[self._held(grams, h[own])]
-            # each distinct shingle of a text, with every item that has it
-            order = np.lexsort((h[own], text[own]))
-            own = own[order]
-            own = own[np.append(True, (h[own][1:] != h[own][:-1]) | (text[own][1:] != text[own][:-1]))]
-            lo, hi = np.searchsorted(grams, h[own], "left"), np.searchsorted(grams, h[own], "right")
-            of = np.repeat(np.arange(len(own)), hi - lo)
-            item = owner[np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[of]]
-            pair = text[own][of] * len(self.ids) + item
+            own = distinct(own[self._held(shingles[0], h[own])])
+            of, at = self._meet(shingles[0], h[own])
+            pair = text[own][of] * many + shingles[1][at]
+            some = np.isin(pair, pairs)
+            of, at, pair = own[of[some]], at[some], pair[some]
             order = np.argsort(pair, kind="stable")
             edge = np.flatnonzero(np.diff(pair[order], prepend=-1))
             for part in np.split(order, edge[1:]):
-                k = int(item[part[0]])
+                k = int(pair[part[0]] % many)
                 if len(part) < self.need[k]:
                     continue
-                at = own[of[part]]
-                spans = zip(h[at].tolist(), words.starts[first[at]].tolist(), words.ends[last[at]].tolist(), strict=True)
-                common = sum(self.strings[k][g] == words.data[s:e].tobytes() for g, s, e in spans)
+                # the words themselves: equal hashes of other words do not count
+                spans = zip(shingles[2][at[part]].tolist(), shingles[3][at[part]].tolist(), words.starts[first[of[part]]].tolist(), words.ends[last[of[part]]].tolist(), strict=True)
+                common = sum(self.data[a:b] == words.data[s:e].tobytes() for a, b, s, e in spans)
                 if common >= self.need[k]:
-                    yield int(text[own[of[part[0]]]]), k, common
+                    yield int(pair[part[0]] // many), k, common
+
+
+def _indexes(items: DataFrame, item_col: str, item_text: str, size: int, threshold: float) -> Iterator:
+    """A broadcast ``Index`` of each BLOCK_BYTES of items."""
+    spark = items.sparkSession
+    queries = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    size_of = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    passes = -(-size_of // BLOCK_BYTES)
+    for number in range(passes):
+        block = queries.where(F.expr(f"pmod(xxhash64(i, t), {passes}) = {number}"))
+        yield tb.share(spark, Index([(r.i, r.t.encode()) for r in block.collect()], size, threshold))
 
 
 def contained_items(
@@ -117,18 +140,12 @@ def contained_items(
     the share of the item's shingles that stand anywhere in the whole document. Items without a word (empty, null) match
     nothing, nor do such documents. Repeats of an item row count once; repeated document rows are returned as often. Null ids
     are kept. Columns other than these four are ignored, whatever their names. An empty table on either side gives no rows.
+    Documents are read once for each BLOCK_BYTES of items.
     """
-    spark = docs.sparkSession
-    queries = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    size_of = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = -(-size_of // BLOCK_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, n_shingles long, n_common long"
     found = None
-    for number in range(passes):
-        block = queries.where(F.expr(f"pmod(xxhash64(i, t), {passes}) = {number}"))
-        index = Index([(-1 if r.i is None else r.i, r.t.encode()) for r in block.collect()], size, threshold)
-        sent = tb.share(spark, index)
+    for sent in _indexes(items, item_col, item_text, size, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent()
@@ -137,21 +154,36 @@ def contained_items(
                 out = [(lo + r, k, n) for lo, hi in tb.blocks(rows) for r, k, n in own.search(rows[lo:hi])]
                 if out:
                     row, item, common = map(np.array, zip(*out, strict=True))
-                    columns = [pa.array(x) for x in (own.ids[item], own.total[item], common)]
+                    columns = [own.ids.take(pa.array(item)), pa.array(own.total[item]), pa.array(common)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], ["id", "item", "n_shingles", "n_common"])
 
         part = texts.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     if found is None:
-        found = spark.createDataFrame([], schema)
+        found = docs.sparkSession.createDataFrame([], schema)
     share = F.round(F.col("n_common") / F.col("n_shingles"), 6).alias("containment")
-    return found.select(F.col("id").alias(id_col), F.nullif("item", F.lit(-1).cast("long")).alias(item_col), "n_shingles", "n_common", share)
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_common", share)
+
 
+def remove_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item by ``contained_items``. Each row is judged by its own text, whatever its id; nothing is exchanged."""
+    place = docs.columns.index(text_col)
+    for sent in _indexes(items, item_col, item_text, size, threshold):
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item by ``contained_items``. Rows with a null id go only with contaminated rows of a null id."""
-    bad = contained_items(docs, items, id_col, text_col, size=size, threshold=threshold).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent()
+            for batch in batches:
+                rows = tb.rows_of(batch.column(place))
+                clean = np.ones(batch.num_rows, bool)
+                for lo, hi in tb.blocks(rows):
+                    for r, _, _ in own.search(rows[lo:hi]):
+                        clean[lo + r] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

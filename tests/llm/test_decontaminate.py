@@ -64,8 +64,18 @@ def test_many_passes(spark, monkeypatch):
 def test_edges(spark):
     item = "one two three four five six seven"
     docs = [(1, None, 0), (2, "", 0), (None, item.upper(), 0), (3, item, 0), (3, item, 0), (4, "one", 0), (5, "x y " * 20000 + item, 0)]
-    items = [(1, item, None), (1, item, None), (2, None, "a"), (3, " ", "a"), (None, "one", "a")]
+    items = [(1, item, None), (1, item, None), (2, None, "a"), (3, " ", "a"), (None, "one", "a"), (-1, "four five six", "a")]
     assert got(spark, docs, items) == brute(docs, items)
     assert got(spark, [], items) == [] and got(spark, docs, []) == []
     kept = dc.remove_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items[:2], ITEMS))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+
+
+def test_removal_judges_each_row(spark):
+    docs, items = made()
+    docs = [(None if d % 4 == 0 else -1 if d % 4 == 1 else d, t, d) for d, t, _ in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _bad int")
+    hit = {x[0] for x in brute([(t, t, 0) for _, t, _ in docs], items)}
+    kept = dc.remove_contaminated(df, spark.createDataFrame(items, ITEMS))
+    assert kept.columns == df.columns and hit
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.where(~df.text.isin(*hit)).collect()))
