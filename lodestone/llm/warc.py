@@ -2,7 +2,8 @@
 
 Archives hold one gzip member per record, so a record is read by its offset and length alone. The index has a line per capture,
 sorted by reversed-host URL key and cut into blocks, a gzip member each; a sparse directory keeps each block's first key and place.
-A lookup searches the directory by bisection, reads one block by range, then one record by range.
+A lookup searches the directory by bisection, reads one block by range, then one record by range; a table of lookups does the same
+for all its URLs at once, file by file.
 
 All files go through Spark's writers and readers, so any store that Spark reaches will do. A gzip member ends with the high byte
 of its length, zero below 16 MB (longer records get an empty member, whose last byte is zero, after them): the byte is left to
@@ -17,19 +18,22 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize, shared_path
+from . import textblocks as tb
 
 #: Least payload that is deduplicated.
 LEAST = 1000
 #: Most records of a file, captures of an index block.
 FILE_RECORDS, BLOCK_LINES = 4096, 512
+#: Bytes after which an archive is closed; one longer record makes a longer one.
+FILE_BYTES = 1 << 27
 #: Copies of the table of repeated payloads that share the joining of one payload.
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
@@ -129,12 +133,26 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Writes column ``member`` of each row to files of at most FILE_RECORDS, in the order of its partition."""
-    rows.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes column ``member`` of each row to files of at most FILE_RECORDS in folders of column ``part``, in the order of its partition."""
+    rows.select("part", F.col("member").cast("string")).write.partitionBy("part").option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _members(members: Iterator[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """(part, member) rows; a new part begins after FILE_BYTES."""
+    part = size = 0
+    for some in members:
+        parts = []
+        for member in some:
+            if size and size + len(member) > FILE_BYTES:
+                part, size = part + 1, 0
+            size += len(member)
+            parts.append(part)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(some, pa.binary())], ["part", "member"])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "content")
+    """(file, content) of all files in the folders of ``path``; ``file`` is the path from there."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+/[^/]+$", 0).alias("file"), "content")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> None:
@@ -154,17 +172,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             out = [gzip_member(response(*(c[i].as_py() for c in batch.columns[:3]))) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[3:], pa.array(out, pa.binary())], ["page_id", "url", "n", "digest", "member"])
 
-    def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         for batch in batches:
             ids, urls, sizes, digests, others = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))
-            out = [m.as_py() if o is None else gzip_member(revisit(i, u, n, bytes.fromhex(d), o)) for i, u, n, d, m, o in zip(ids, urls, sizes, digests, batch.column(4), others, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+            yield [m.as_py() if o is None else gzip_member(revisit(i, u, n, bytes.fromhex(d), o)) for i, u, n, d, m, o in zip(ids, urls, sizes, digests, batch.column(4), others, strict=True)]
 
     keyed = rows.mapInArrow(responses, "page_id long, url string, n int, digest string, member binary")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     other = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
     dealt = keyed.join(spread, ["digest", "n", "salt"], "left").select("page_id", "url", "n", "digest", "member", other)
-    _write(dealt.mapInArrow(revisits, "member binary"), path)
+    _write(dealt.mapInArrow(lambda batches: _members(revisits(batches)), "part int, member binary"), path)
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> None:
@@ -181,11 +198,11 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["key", "page_id", "file", "at", "size", "kind"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         held: list[str] = []
 
-        def close(lines: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([gzip_member("".join(lines).encode())], pa.binary())], ["member"])
+        def close(lines: list[str]) -> list[bytes]:
+            return [gzip_member("".join(lines).encode())]
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -206,63 +223,106 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
     rows = materialize(_files(spark, archives).mapInArrow(captures, _ENTRY), "captures")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
-    _write(ordered.mapInArrow(blocks, "member binary"), f"{path}/blocks")
+    _write(ordered.mapInArrow(lambda batches: _members(blocks(batches)), "part int, member binary"), f"{path}/blocks")
     _files(spark, f"{path}/blocks").mapInArrow(directory, "first string, file string, at long, size long").write.parquet(f"{path}/directory")
 
 
-def index_entries(spark: SparkSession, index: str) -> DataFrame:
-    """Every line of an index: (key, page_id, file, at, size, kind)."""
+def _tops(spark: SparkSession, index: str) -> list[tuple[str, str]]:
+    """(first key, file) of each file of blocks, in order: a row for FILE_RECORDS blocks, that is 2 million captures."""
+    return sorted((r.first, r.file) for r in spark.read.parquet(f"{index}/directory").groupBy("file").agg(F.min("first").alias("first")).collect())
+
+
+def _ranges(files: DataFrame, places: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on (file, ranges of its content): each file of ``files`` meets the (file, at, size) that ``places`` names in it.
+
+    A file holds at most FILE_RECORDS places. Whether the places are broadcast is for their measured size to decide.
+    """
+    listed = places.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1):
-                for _, _, data in members(content.as_py()):
-                    out = [json.loads(x) for x in data.decode().splitlines()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["key", "page_id", "file", "at", "size", "kind"])
+            for file, content, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                held = memoryview(content.as_buffer())
+                yield from work(file, ((p["at"], p["size"], zlib.decompressobj(31).decompress(held[p["at"] : p["at"] + p["size"]])) for p in found))
+
+    return files.join(listed, "file").select("file", "content", "places").mapInArrow(run, schema)
+
+
+def keys_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key): the index key of every row's URL; null is the empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(_line(x or "")) for x in batch.column(0).to_pylist()], pa.string())], ["key"])
 
-    return _files(spark, f"{index}/blocks").mapInArrow(run, _ENTRY)
+    return pages.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "key string")
 
 
-def read_archives(spark: SparkSession, archives: str) -> DataFrame:
-    """(file, at, size, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every record, files read from end to end.
+def lookup_all(spark: SparkSession, index: str, keys: DataFrame) -> DataFrame:
+    """(key, page_id, file, at, size, kind): the index lines of every distinct ``key`` of ``keys``; keys that no capture has give none.
 
-    The payload of a revisit is null; its length and digest are those that its record states.
+    Each key finds its files by bisection over their first keys, its blocks by merging with the directory of the file, where both
+    are sorted; only such blocks are read, by their ranges.
+    """
+    sent = tb.share(spark, _tops(spark, index))
+    keys = keys.select("key").where("key is not null").distinct()
+
+    def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = sent()
+        firsts = [t for t, _ in tops]
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                # captures of a key may start in the last file that opens before it, and go on in all that open with it
+                out += [(tops[k][1], key) for k in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["file", "key"])
+
+    def lines(file: str, found) -> Iterator[pa.RecordBatch]:
+        for _, _, data in found:
+            out = [json.loads(x) for x in data.decode().splitlines()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["key", "page_id", "file", "at", "size", "kind"])
+
+    directory = spark.read.parquet(f"{index}/directory")
+    asked = keys.mapInArrow(files_of, "file string, key string")
+    in_file = Window.partitionBy("file")
+    opened = directory.select("file", "at", "size", F.col("first").alias("key"), F.lead("first").over(in_file.orderBy("at")).alias("next"), F.lit(0).alias("asked"))
+    both = opened.unionByName(asked.select("file", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("size"), "key", F.lit(None).cast("string").alias("next"), F.lit(1).alias("asked")))
+    # the least key that is asked for from a block's first on
+    ahead = in_file.orderBy(F.desc("key"), F.desc("asked"), F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.last(F.when(F.col("asked") == 1, F.col("key")), ignorenulls=True).over(ahead)
+    wanted = both.withColumn("least", least).where("asked = 0 and least is not null and (next is null or least <= next)").select("file", "at", "size")
+    return _ranges(_files(spark, f"{index}/blocks"), wanted, lines, _ENTRY).join(keys, "key", "left_semi").select(*[x.split()[0] for x in _ENTRY.split(", ")])
+
+
+def read_captures(spark: SparkSession, archives: str, captures: DataFrame, payload: bool = True) -> DataFrame:
+    """(file, at, size, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each capture (file, at, size), read by its range.
+
+    The payload of a revisit is null; its length and digest are those that its record states. Without ``payload`` none is returned.
     """
     schema = "file string, at long, size long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(file: str, found) -> Iterator[pa.RecordBatch]:
         def close(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = []
-                for at, size, data in members(content.as_py()):
-                    warc, http, payload = parse(data)
-                    page, other = warc.get("x-page-id"), warc.get("x-refers-to-page-id")
-                    full = warc["warc-type"] == "response"
-                    digest = hashlib.sha1(payload).hexdigest() if full else base64.b32decode(warc["warc-payload-digest"][5:]).hex()
-                    out.append((file, at, size, page and int(page), warc["warc-target-uri"], payload if full else None, len(payload) if full else int(http["content-length"]), digest, warc["warc-type"], other and int(other)))
-                    if len(out) == 256:
-                        yield close(out)
-                        out = []
-                if out:
-                    yield close(out)
-
-    return _files(spark, archives).mapInArrow(run, schema)
+        out, held = [], 0
+        for at, size, data in found:
+            warc, http, body = parse(data)
+            page, other = warc.get("x-page-id"), warc.get("x-refers-to-page-id")
+            full = warc["warc-type"] == "response"
+            digest = hashlib.sha1(body).hexdigest() if full else base64.b32decode(warc["warc-payload-digest"][5:]).hex()
+            out.append((file, at, size, page and int(page), warc["warc-target-uri"], body if full and payload else None, len(body) if full else int(http["content-length"]), digest, warc["warc-type"], other and int(other)))
+            held += len(body) if payload else 0
+            if len(out) == 256 or held > 1 << 24:
+                yield close(out)
+                out, held = [], 0
+        if out:
+            yield close(out)
 
-
-def read_captures(spark: SparkSession, archives: str, index: str, payload: bool = True) -> DataFrame:
-    """The columns of ``read_archives`` for every index line, from the record that stands at the place it names.
-
-    For all captures at once, files are read from end to end and met with the index by place, so that only what is asked for is
-    exchanged: without ``payload`` no content is.
-    """
-    found = read_archives(spark, archives)
-    found = found if payload else found.drop("payload")
-    return index_entries(spark, index).select("file", "at", "size").join(found, ["file", "at", "size"])
+    return _ranges(_files(spark, archives), captures.select("file", "at", "size"), records, schema)
 
 
 class CaptureIndex:
@@ -271,8 +331,8 @@ class CaptureIndex:
     def __init__(self, spark: SparkSession, archives: str, index: str):
         self.spark, self.archives, self.index = spark, archives, index
         self.directory = spark.read.parquet(f"{index}/directory")
-        # one row for each file of blocks; the blocks of a file are read when they are asked for
-        self.tops = sorted((r.first, r.file) for r in self.directory.groupBy("file").agg(F.min("first").alias("first")).collect())
+        # the blocks of a file are read when they are asked for
+        self.tops = _tops(spark, index)
 
     def _range(self, path: str, at: int, size: int) -> bytes:
         jvm = self.spark._jvm
@@ -322,7 +382,8 @@ def capture_digest(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     archives, index = shared_path(spark, "archives"), shared_path(spark, "index")
     write_archives(pages, archives, id_col, url_col, text_col)
     write_index(spark, archives, index)
-    return read_captures(spark, archives, index, payload=False).select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_captures(spark, archives, lookup_all(spark, index, keys_of(pages, url_col)), payload=False)
+    return found.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

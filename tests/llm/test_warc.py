@@ -35,17 +35,28 @@ def expected(rows):
 def test_records_read_back(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 20)
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
     rows = made()
     df = spark.createDataFrame(rows, PAGES)
     assert sorted((tuple(r) for r in warc.capture_digest(df).collect()), key=str) == expected(rows)
     archives, index = shared_path(spark, "a"), shared_path(spark, "i")
     warc.write_archives(df, archives)
     warc.write_index(spark, archives, index)
-    entries = warc.index_entries(spark, index).collect()
-    assert len(entries) == len(rows)
-    captures = {(r.page_id, r.url): r for r in warc.read_captures(spark, archives, index).collect()}
+    entries = warc.lookup_all(spark, index, warc.keys_of(df))
+    assert entries.count() == len(rows)
+    captures = {(r.page_id, r.url): r for r in warc.read_captures(spark, archives, entries).collect()}
+    some = spark.createDataFrame([(warc.url_key(rows[k][1]),) for k in (0, 7, 100)] + [("no,such)/",), ("zz", ), ("", )], "key string")
+    got = sorted((r.page_id, r.key) for r in warc.lookup_all(spark, index, some).collect())
+    want = {r.key for r in some.collect()}
+    assert got == sorted((i, warc.url_key(u)) for i, u, *_ in rows if u and warc.url_key(u) in want)
     found = warc.CaptureIndex(spark, archives, index)
     assert len(found.tops) > 1
+    # one lookup reads a few blocks and the records it finds, not the archives
+    read, ranged = [], found._range
+    found._range = lambda path, at, size: read.append(size) or ranged(path, at, size)
+    own = found.lookup(rows[0][1])
+    whole = sum(r.size for r in entries.collect())
+    assert own and len(read) <= len(own) + 6 and sum(read) < whole / 10
     for url in [rows[0][1], rows[7][1], rows[100][1], "x\r\nWARC-Type: evil"]:
         want = sorted((i for i, u, *_ in rows if warc.url_key((u or "").replace("\r\n", " ")) == warc.url_key(url.replace("\r\n", " "))), key=str)
         got = found.lookup(url.replace("\r\n", " "))
