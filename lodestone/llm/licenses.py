@@ -7,7 +7,9 @@ of the template's words that are aligned.
 Windows come from probes. An alignment that covers a share t of a template of n words misses at most (1 - t) n of them, so
 of any floor((1 - t) n) + 1 words of it one at least stands in the text. The longest words are taken, as the rarest; a
 text without a probe has no match, and each probe hit places one window. A second pass widens the windows of the hits that no match
-covers, so up to INSERTED template lengths of other words may stand inside a match.
+covers, so up to INSERTED template lengths of other words may stand inside a match. Other words can hide an anchor by repeating it:
+where a wide window falls short though its longest common subsequence with the template, which bounds every alignment in it, does
+not, all windows inside it are tried that begin and end with a word of the template.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +100,20 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def common_length(text: list[str], template: list[str]) -> int:
+    """Length of the longest common subsequence, by whole rows of bits."""
+    places: dict[str, int] = {}
+    for k, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << k
+    full = (1 << len(template)) - 1
+    row = full
+    for w in text:
+        if hit := places.get(w):
+            both = row & hit
+            row = ((row + both) | (row - both)) & full
+    return len(template) - row.bit_count()
+
+
 class Scanner:
     """Templates by their probes."""
 
@@ -104,6 +121,8 @@ class Scanner:
         self.threshold = threshold
         self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
+        #: Words of a template that a match aligns.
+        self.least = [max(1, ceil(threshold * len(w) - 1e-9)) for w in self.words]
         self.probes: dict[str, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             distinct = sorted(set(words), key=lambda w: (-len(w), w))
@@ -113,6 +132,19 @@ class Scanner:
         stems = [re.escape(w) for w in sorted(self.probes)]
         self.some = re.compile("|".join(stems)) if stems else None
 
+    def _inside(self, words: list[str], lo: int, hi: int, at: int, template: list[str]) -> tuple[int, list[tuple[int, int]]]:
+        """Start and alignment of the window around ``at`` that aligns most of the template; of equals the first and shortest."""
+        own = set(template)
+        edges = [k for k in range(lo, hi) if words[k] in own]
+        best: tuple[int, list[tuple[int, int]]] = lo, []
+        most = len(template) * (1 + INSERTED)
+        for a in (k for k in edges if k <= at):
+            for b in (k for k in edges if at <= k < a + most):
+                # no window holds more than its own length
+                if b - a >= len(best[1]) and len(pairs := patience(words[a : b + 1], template)) > len(best[1]):
+                    best = a, pairs
+        return best
+
     def scan(self, text: str) -> list[tuple[int, float, int, int]]:
         """(template, coverage, first word, last word) of every match, by template and place."""
         low = text.lower()
@@ -134,8 +166,10 @@ class Scanner:
                     lo = max(taken[at - 1][1] + 1 if at else 0, i - offset - slack)
                     hi = min(taken[at][0] if at < len(taken) else len(words), i - offset + len(template) + slack)
                     pairs = patience(words[lo:hi], template)
+                    if lengths and len(pairs) < self.least[k] <= common_length(words[lo:hi], template):
+                        lo, pairs = self._inside(words, lo, hi, i, template)
                     coverage = len(pairs) / len(template)
-                    if coverage >= self.threshold - 1e-9:
+                    if len(pairs) >= self.least[k]:
                         first, last = lo + pairs[0][0], lo + pairs[-1][0]
                         out.append((k, coverage, first, last))
                         insort(taken, (first, last))

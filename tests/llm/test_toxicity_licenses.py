@@ -133,3 +133,25 @@ def test_inserted_words_as_whole_text_alignment():
     # a close match stands, whatever precedes it
     notice = "Licensed under CC BY-NC 4.0."
     assert [x[1:] for x in scanner.scan("licensed things of many kinds " + notice) if scanner.names[x[0]] == "CC-BY-NC-4.0-notice"] == [(1.0, 5, 9)]
+
+
+def test_scan_as_all_windows():
+    some = ("MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "GPL-3.0-notice", "CC-BY-4.0-notice")
+    scanner = licenses.Scanner({k: licenses.TEMPLATES[k] for k in some}, licenses.THRESHOLD)
+    r = random.Random(1)
+    matches = 0
+    for _ in range(400):
+        words = list(r.choice(scanner.words))
+        if len(words) > 4 and r.random() < 0.5:
+            words.pop(r.randrange(len(words)))
+        for _ in range(r.choice([0, 1, 2, len(words) // 2, len(words)])):
+            words.insert(r.randint(1, len(words) - 1), r.choice(["x", "of", "the", "license", "under", "by", "this"]))
+        text = [r.choice(["a", "the", "license", "of", "under", "z"]) for _ in range(r.randint(0, 12))] + words + [r.choice(["b", "the", "license", "q"]) for _ in range(r.randint(0, 12))]
+        found = {x[0] for x in scanner.scan(" ".join(text))}
+        for k, template in enumerate(scanner.words):
+            n = len(template)
+            best = max(len(licenses.patience(text[a:b], template)) for a in range(len(text)) for b in range(a + 1, min(len(text), a + 2 * n) + 1))
+            assert (k in found) == (best >= 0.8 * n - 1e-9), (k, text)
+            matches += best >= 0.8 * n - 1e-9
+    assert matches > 200
+    assert all(licenses.common_length(a, b) == common_length(a, b) for a, b in [([r.choice("abc") for _ in range(12)], [r.choice("abcd") for _ in range(9)]) for _ in range(50)])
