@@ -1,14 +1,14 @@
 """Integer codecs of postings as columns: encoded sizes, encoded bytes and decoding.
 
 Sizes, gaps and the bytes of standard and variable-byte lists are JVM expressions. What walks along one list with a state (running
-sums, decoding, bit packing) is an Arrow function, linear in the list. Lists must be ascending, distinct and not negative where they are ids, and at least 1 where they are frequencies.
+sums, decoding, bit packing) is an Arrow function over all numbers of a batch at once; nothing loops over values. Lists must be ascending, distinct and not negative where they are ids, and at least 1 where they are frequencies.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,17 +25,56 @@ def gaps(ids: Column) -> Column:
     return F.transform(ids, lambda v, i: F.when(i == 0, v).otherwise(v - F.get(ids, i - 1)))
 
 
-def _arrow(kind: T.DataType, pa_kind: pa.DataType, one):
-    """An Arrow function that applies ``one`` to each value that is not null."""
+def _flat(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers (or bytes) of a column of lists (or byte strings), and where each row's begin, with their end; a null row has none."""
+    if pa.types.is_binary(data.type) or pa.types.is_large_binary(data.type):
+        data = data.cast(pa.binary())
+        edge = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        held = data.buffers()[2]
+        values = np.frombuffer(held, np.uint8)[edge[0] : edge[-1]] if held is not None else np.zeros(0, np.uint8)
+    else:
+        edge = data.offsets.to_numpy().astype(np.int64)
+        values = data.values.slice(edge[0], edge[-1] - edge[0]).to_numpy(zero_copy_only=False)
+    edge = edge - edge[0]
+    if data.null_count:
+        # a null row may still cover values
+        size = np.where(data.is_null().to_numpy(zero_copy_only=False), 0, np.diff(edge))
+        values = values[np.repeat(edge[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        edge = np.append(0, np.cumsum(size))
+    return values, edge
+
+
+def _column(data: pa.Array, values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Rows of ``values`` cut at ``edge``, as lists or, of bytes, as byte strings; null where ``data`` is."""
+    offsets = pa.array(edge.astype(np.int32))
+    if values.dtype == np.uint8:
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())])
+    else:
+        out = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int64)))
+    return pa.compute.if_else(data.is_valid(), out, pa.scalar(None, out.type)) if data.null_count else out
+
+
+def _arrow(kind: T.DataType, work):
+    """An Arrow function of ``work`` on the flat values of a batch and their edges."""
 
     def run(data: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else one(x) for x in data.to_pylist()], pa_kind)
+        import pyarrow.compute  # noqa: F401
+
+        return _column(data, *work(*_flat(data)))
 
     return F.arrow_udf(run, kind)
 
 
-_LIST, _PA_LIST = T.ArrayType(T.LongType()), pa.list_(pa.int64())
-_sums = _arrow(_LIST, _PA_LIST, lambda x: list(accumulate(x)))
+_LIST = T.ArrayType(T.LongType())
+
+
+def _running(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of each row."""
+    total = np.append(0, np.cumsum(values.astype(np.int64)))
+    return total[1:] - np.repeat(total[edge[:-1]], np.diff(edge)), edge
+
+
+_sums = _arrow(_LIST, _running)
 
 
 def sums(parts: Column) -> Column:
@@ -80,7 +119,12 @@ def standard_encode(values: Column, width: int = 8) -> Column:
     return F.unhex(_join(values, lambda v: reverse(F.lpad(F.hex(v), 2 * width, "0"))))
 
 
-_standard_decode = {w: _arrow(_LIST, _PA_LIST, lambda x, w=w: [int.from_bytes(x[i : i + w], "little") for i in range(0, len(x), w)]) for w in (4, 8)}
+def _wide(width: int):
+    """Numbers of ``width`` little-endian bytes."""
+    return lambda data, edge: (np.frombuffer(data.tobytes(), f"<{'i' if width == 8 else 'u'}{width}").astype(np.int64), edge // width)
+
+
+_standard_decode = {w: _arrow(_LIST, _wide(w)) for w in (4, 8)}
 
 
 def standard_decode(data: Column, width: int = 8) -> Column:
@@ -95,18 +139,18 @@ def vbe_encode(ids: Column) -> Column:
     return vbe_encode_tf(gaps(ids))
 
 
-def _vb_numbers(data: bytes) -> list[int]:
-    """Digits are collected until one of 128 or more ends the number."""
-    out, at = [], 0
-    for b in data:
-        at = at * 128 + b
-        if b >= 128:
-            out.append(at - 128)
-            at = 0
-    return out
+def _vb_numbers(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digit of 128 or more is the last of its number; digits are weighed by their places before it and added up."""
+    last = np.flatnonzero(data >= 128)
+    if not len(last):
+        return np.zeros(0, np.int64), edge * 0
+    first = np.append(0, last[:-1] + 1)
+    place = np.repeat(last, last + 1 - first) - np.arange(last[-1] + 1)
+    digits = (data[: last[-1] + 1] & 127).astype(np.int64) << (7 * place)
+    return np.add.reduceat(digits, first), np.searchsorted(last, edge)
 
 
-_vbe_decode_tf = _arrow(_LIST, _PA_LIST, _vb_numbers)
+_vbe_decode_tf = _arrow(_LIST, _vb_numbers)
 
 
 def vbe_decode_tf(data: Column) -> Column:
@@ -117,15 +161,36 @@ def vbe_decode(data: Column) -> Column:
     return sums(vbe_decode_tf(data))
 
 
-def _gamma_bytes(values: list[int]) -> bytes:
-    if values and min(values) < 1:
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each positive number without leading zeros."""
+    out = np.zeros(len(values), np.int64)
+    rest = values.astype(np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        high = rest >= np.int64(1) << step
+        out[high] += step
+        rest = np.where(high, rest >> step, rest)
+    return out + 1
+
+
+def _gamma_bytes(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as Elias-gamma bits, each row filled up to whole bytes."""
+    if len(values) and values.min() < 1:
         raise ValueError("Elias-gamma codes numbers from 1 on")
-    bits = "".join("0" * (v.bit_length() - 1) + f"{v:b}" for v in values)
-    size = -(-len(bits) // 8)
-    return int(bits.ljust(8 * size, "0"), 2).to_bytes(size, "big") if size else b""
+    width = _bits(values)
+    ahead = np.append(0, np.cumsum(2 * width - 1))
+    own = ahead[edge[1:]] - ahead[edge[:-1]]
+    size = -(-own // 8)
+    out = np.append(0, np.cumsum(size))
+    # the last bit of each number
+    end = ahead[1:] - 1 + np.repeat(8 * out[:-1] - ahead[edge[:-1]], np.diff(edge))
+    bits = np.zeros(8 * out[-1], np.uint8)
+    for k in range(int(width.max(initial=0))):
+        long = width > k
+        bits[end[long] - k] = (values[long] >> k) & 1
+    return np.packbits(bits), out
 
 
-_gamma_encode = _arrow(T.BinaryType(), pa.binary(), _gamma_bytes)
+_gamma_encode = _arrow(T.BinaryType(), _gamma_bytes)
 
 
 def elias_encode_tf(values: Column) -> Column:
@@ -137,17 +202,40 @@ def elias_encode(ids: Column) -> Column:
     return elias_encode_tf(F.transform(gaps(ids), lambda v: v + 1))
 
 
-def _gamma_numbers(data: bytes) -> list[int]:
-    bits = "".join(f"{b:08b}" for b in data)
-    numbers, at = [], 0
-    while (one := bits.find("1", at)) >= 0:
-        end = 2 * one - at + 1
-        numbers.append(int(bits[one:end], 2))
-        at = end
-    return numbers
-
-
-_gamma_decode = _arrow(_LIST, _PA_LIST, _gamma_numbers)
+def _gamma_numbers(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each row; trailing zeros are padding.
+
+    Where a number starts, the next one bit tells where it ends. The starts of all rows are followed together by doubling: after each
+    turn twice as many numbers are reached from those known.
+    """
+    bits = np.unpackbits(data)
+    n = len(bits)
+    one = np.where(bits > 0, np.arange(n), n)
+    one = np.minimum.accumulate(one[::-1])[::-1]
+    row_end = np.repeat(8 * edge[1:], 8 * np.diff(edge))
+    # from each bit, the start of the number after one that starts there; n where none does
+    jump = np.append(np.where(one < row_end, np.minimum(2 * one - np.arange(n) + 1, n), n), n)
+    reached = np.zeros(n + 1, bool)
+    # a number may end its row, and the next row begins there by itself
+    reached[8 * edge[:-1][np.diff(edge) > 0]] = True
+    while True:
+        found = jump[reached[:-1].nonzero()[0]]
+        before = int(reached.sum())
+        reached[found] = True
+        if int(reached.sum()) == before:
+            break
+        jump = jump[jump]
+    start = np.flatnonzero(reached[:-1])
+    start = start[one[start] < row_end[start]]
+    width = one[start] - start + 1
+    out = np.zeros(len(start), np.int64)
+    for k in range(int(width.max(initial=0))):
+        long = width > k
+        out[long] |= bits[(one[start] + width - 1)[long] - k].astype(np.int64) << k
+    return out, np.searchsorted(start, 8 * edge)
+
+
+_gamma_decode = _arrow(_LIST, _gamma_numbers)
 
 
 def elias_decode_tf(data: Column) -> Column:

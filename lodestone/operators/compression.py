@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import CODECS, codec, elias_encode, elias_encode_tf, vbe_encode_tf
-from .index import gap_rows, postings_arrays
+from ..functions.codecs import CODECS, codec, sums, vbe_encode_tf
+from .index import BLOCK_BITS, gap_rows, postings_arrays
 
 
 def term_sizes(gaps: DataFrame, name: str) -> DataFrame:
@@ -25,8 +25,8 @@ def report(postings: DataFrame, baseline: str = "standard") -> DataFrame:
     One pass: the sums of all codecs come from one aggregate by term.
     """
     gaps = gap_rows(postings)
-    sums = [F.sum(f(F.col(c).cast("bigint"))).alias(f"{n}_{k}") for n, x in CODECS.items() for k, c, f in (("p", "gap", x.gap_bits), ("t", "tf", x.tf_bits))]
-    by_term = gaps.groupBy("term").agg(*sums)
+    totals_of = [F.sum(f(F.col(c).cast("bigint"))).alias(f"{n}_{k}") for n, x in CODECS.items() for k, c, f in (("p", "gap", x.gap_bits), ("t", "tf", x.tf_bits))]
+    by_term = gaps.groupBy("term").agg(*totals_of)
     whole = lambda c: F.coalesce(F.sum(F.ceil(F.col(c) / 8)), F.lit(0)).cast("bigint").alias(c)
     totals = by_term.agg(F.count("*").alias("terms"), *(whole(f"{n}_{k}") for n in CODECS for k in "pt"))
     each = [F.struct(F.lit(n).alias("encoder"), F.col(f"{n}_p").alias("p"), F.col(f"{n}_t").alias("t"), (F.col(f"{baseline}_p") + F.col(f"{baseline}_t")).alias("base")) for n in CODECS]
@@ -37,18 +37,12 @@ def report(postings: DataFrame, baseline: str = "standard") -> DataFrame:
 
 def vbe_segments(postings: DataFrame) -> DataFrame:
     """(term, block, postings_hex, tf_hex): variable-byte lists in segments of a block of ids each; a term's segments in order are its list."""
-    block = F.shiftright(F.col("doc_id"), 16).alias("block")
+    block = F.shiftright(F.col("doc_id"), BLOCK_BITS).alias("block")
     rows = gap_rows(postings).select("term", block, F.struct("doc_id", "gap", F.col("tf").cast("bigint").alias("tf")).alias("p"))
     lists = rows.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return lists.select("term", "block", F.lower(F.hex(vbe_encode_tf(F.col("p.gap")))).alias("postings_hex"), F.lower(F.hex(vbe_encode_tf(F.col("p.tf")))).alias("tf_hex"))
 
 
-def elias_segments(postings: DataFrame) -> DataFrame:
-    """(term, block, postings_hex, tf_hex): Elias-gamma lists, each block of ids a list of its own."""
-    rows = postings_arrays(postings.select("term", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("tf").cast("bigint").alias("tf")))
-    return rows.select("term", "block", F.lower(F.hex(elias_encode(F.col("doc_ids")))).alias("postings_hex"), F.lower(F.hex(elias_encode_tf(F.col("tfs")))).alias("tf_hex"))
-
-
 def encoded(postings: DataFrame, name: str) -> DataFrame:
     """(term, block, postings, tfs): binary lists by codec, each block of ids a list of its own."""
     own = codec(name)
@@ -64,12 +58,22 @@ def decoded(rows: DataFrame, name: str) -> DataFrame:
     return pairs.select("term", F.col("p.d").alias("doc_id"), F.col("p.t").cast("int").alias("tf"))
 
 
-def from_gaps(rows: DataFrame) -> DataFrame:
-    """(term, doc_id): ids back from gap rows, by running sums in two levels: inside blocks, then over the sums of blocks."""
-    block = F.shiftright("doc_id", 16).alias("block")
-    cut = rows.select("term", "doc_id", "gap", block)
-    sums = cut.groupBy("term", "block").agg(F.sum("gap").alias("own"))
-    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("term", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("carried"))
-    inside = Window.partitionBy("term", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.withColumn("run", F.sum("gap").over(inside)).join(sums, ["term", "block"]).select("term", (F.col("carried") + F.col("run")).alias("doc_id"))
+def gap_lists(postings: DataFrame) -> DataFrame:
+    """(term, segment, gaps): the gaps of each term's ids in order, in segments numbered from the first; a list is its segments one after the other.
+
+    No id is kept: the first gap of a segment is the distance from the last id of the segment before.
+    """
+    block = F.shiftright("doc_id", BLOCK_BITS).alias("block")
+    rows = gap_rows(postings).select("term", block, F.struct("doc_id", "gap").alias("p"))
+    lists = rows.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    order = Window.partitionBy("term").orderBy("block")
+    return lists.select("term", F.row_number().over(order).alias("segment"), F.col("p.gap").alias("gaps"))
+
+
+def from_gaps(lists: DataFrame) -> DataFrame:
+    """(term, doc_id): ids back from ``gap_lists``, by running sums in two levels: inside segments, then over the sums of segments."""
+    whole = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    before = Window.partitionBy("term").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("carried")
+    rows = lists.select("term", "segment", sums(F.col("gaps")).alias("own"), whole.alias("whole")).select("term", carried, "own")
+    return rows.select("term", "carried", F.explode("own").alias("own")).select("term", (F.col("carried") + F.col("own")).alias("doc_id"))

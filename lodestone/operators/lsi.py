@@ -3,17 +3,19 @@
 Weights are ``(1 + ln tf) * ln(N / max(df, 1))``. The term basis V (terms x k) is computed once; documents and queries are both mapped
 by it (a document to its row times V, a query likewise, without division by singular values) and compared by cosine.
 
-The decomposition is a subspace iteration, a randomized range finder. It works on the smaller side of the matrix: with fewer documents
+The decomposition is, at every size, a subspace iteration, a randomized range finder. It works on the smaller side of the matrix: with fewer documents
 than terms, the basis (documents x (k + 10)) is sent to partitions of terms, else the basis of terms to partitions of documents. Each pass adds up
-the partitions' products, so neither postings nor vectors are gathered. The basis is broadcast, and its size is checked. A small
-collection is solved exactly from the Gramian of its documents instead.
+the partitions' products, so neither postings nor vectors are gathered. The basis is broadcast, and its size is checked. Passes end when the
+leading singular values have settled. ``exact`` solves a small collection from the Gramian of its documents on the driver, if asked for.
+
+Documents are ranked by exact search, or by cells (``vector.build_cells``) where the index has them.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..shared import materialize
+from ..shared import materialize, remove
 from .index import Index, numbered
 from .retrieval import query_terms
-from .vector import matrix, search_exact
+from .vector import build_cells, matrix, search_cells, search_exact
 
-#: Documents up to which the Gramian is solved exactly, and weights of a collection that the driver may hold for it.
+#: Most documents and weights of a collection that ``exact`` takes: the driver holds them.
 EXACT_DOCS, EXACT_WEIGHTS = 3000, 5_000_000
 #: Most numbers of a basis that is broadcast: the smaller of documents and terms, times (k + OVERSAMPLE).
 BASIS_NUMBERS = 128_000_000
-OVERSAMPLE, POWER, SEED = 10, 5, 42
+#: Components beyond those asked for; most passes, and the relative change of singular values at which they end.
+OVERSAMPLE, PASSES, SETTLED, SEED = 10, 12, 1e-3, 42
 _CHUNK = 4096
 
 
@@ -67,17 +70,33 @@ class LatentIndex:
     term_vecs: DataFrame
     doc_vecs: DataFrame
     singular: np.ndarray
+    #: (doc_id, vec, cell) and the centroids, if documents are searched by cells.
+    cells: DataFrame | None = None
+    centroids: np.ndarray | None = None
+
+    def with_cells(self, n_cells: int | None = None, seed: int = SEED) -> LatentIndex:
+        """The index with its documents dealt to cells."""
+        cells, centroids = build_cells(self.doc_vecs, n_cells, "doc_id", "vec", seed)
+        return replace(self, cells=cells, centroids=centroids)
 
     def save(self, path: str) -> None:
         self.term_vecs.write.mode("overwrite").parquet(f"{path}/term_vecs")
         self.doc_vecs.write.mode("overwrite").parquet(f"{path}/doc_vecs")
         spark = self.term_vecs.sparkSession
         spark.createDataFrame([(json.dumps(self.singular.tolist()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/singular")
+        remove(spark, f"{path}/centroids")
+        if self.cells is not None:
+            self.cells.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+            spark.createDataFrame([(json.dumps(self.centroids.tolist()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/centroids")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LatentIndex:
         values = json.loads(spark.read.text(f"{path}/singular").first()[0])
-        return cls(spark.read.parquet(f"{path}/term_vecs"), spark.read.parquet(f"{path}/doc_vecs"), np.array(values))
+        found = cls(spark.read.parquet(f"{path}/term_vecs"), spark.read.parquet(f"{path}/doc_vecs"), np.array(values))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centroids")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            found.cells, found.centroids = spark.read.parquet(f"{path}/cells"), np.array(json.loads(spark.read.text(str(folder)).first()[0]))
+        return found
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,12 +172,16 @@ def _exact(entries: DataFrame, n_docs: int, k: int) -> tuple[np.ndarray, np.ndar
 
 def _randomized(entries: DataFrame, n: int, k: int, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Singular vectors on the side of the entries' columns, and singular values, by subspace iteration."""
-    q = np.random.default_rng(seed).normal(size=(n, min(k + OVERSAMPLE, limit)))
-    for _ in range(POWER):
-        q, _r = np.linalg.qr(_gram_step(entries, q))
-    values, turn = np.linalg.eigh(q.T @ _gram_step(entries, q))
-    top = np.argsort(-values)[:k]
-    return q @ turn[:, top], np.sqrt(np.maximum(values[top], 0))
+    q, last = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(k + OVERSAMPLE, limit))))[0], None
+    for _ in range(PASSES):
+        step = _gram_step(entries, q)
+        values, turn = np.linalg.eigh(q.T @ step)
+        top = np.argsort(-values)[:k]
+        found = q @ turn[:, top], np.sqrt(np.maximum(values[top], 0))
+        if last is not None and np.all(np.abs(found[1] - last) <= SETTLED * found[1].max(initial=0)):
+            break
+        q, last = np.linalg.qr(step)[0], found[1]
+    return found
 
 
 def _arpack(entries: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,18 +189,19 @@ def _arpack(entries: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
+    # MLlib's matrices take rows of its own vectors
     rows = entries.rdd.map(lambda r: Vectors.sparse(n, sorted(zip(r.c, r.w, strict=True))))
     found = RowMatrix(rows, numCols=n).computeSVD(k)
     return found.V.toArray(), found.s.toArray()
 
 
-def build_lsi(index: Index, n_components: int = 100, algorithm: str = "auto", seed: int = SEED) -> LatentIndex:
+def build_lsi(index: Index, n_components: int = 100, algorithm: str = "randomized", seed: int = SEED) -> LatentIndex:
     """The latent index of a collection.
 
-    ``algorithm``: exact (Gramian), randomized (subspace iteration), arpack (distributed Lanczos of MLlib), or auto: exact for collections of up
-    to EXACT_DOCS documents and EXACT_WEIGHTS entries. Signs and rotations within equal singular values are arbitrary; cosines are not.
+    ``algorithm``: randomized (subspace iteration), arpack (distributed Lanczos of MLlib), or exact (Gramian; up to EXACT_DOCS documents and
+    EXACT_WEIGHTS entries, an error beyond). Signs and rotations within equal singular values are arbitrary; cosines are not.
     """
-    if algorithm not in ("auto", "exact", "randomized", "arpack"):
+    if algorithm not in ("exact", "randomized", "arpack"):
         raise ValueError(f"unknown algorithm {algorithm!r}")
     spark = index.postings.sparkSession
     terms = materialize(numbered(index.term_stats, "term", "row"), "term_rows").withColumnRenamed("row", "t")
@@ -196,7 +220,7 @@ def build_lsi(index: Index, n_components: int = 100, algorithm: str = "auto", se
     n = n_docs if by_term else n_terms
     if k == 0:
         basis, singular = np.zeros((n, 0)), np.zeros(0)
-    elif algorithm == "exact" or algorithm == "auto" and small:
+    elif algorithm == "exact":
         if not small:
             raise ValueError("too large for the exact algorithm, or fewer terms than documents")
         basis, singular = _exact(entries, n_docs, k)
@@ -249,16 +273,25 @@ def fold_in(queries: DataFrame, index: Index, latent: LatentIndex) -> DataFrame:
     return rows.groupBy("qid").applyInArrow(add, f"qid {kind}, vec array<double>")
 
 
-def search_lsi(queries: DataFrame, index: Index, latent: LatentIndex, k: int = 10) -> DataFrame:
-    """(qid, rank, doc_id, score): all documents ranked by cosine with each query; scores may be negative. Query ids are whole numbers."""
-    return search_exact(fold_in(queries, index, latent), latent.doc_vecs, k, "doc_id", "vec")
+def search_lsi(queries: DataFrame, index: Index, latent: LatentIndex, k: int = 10, n_probe: int | None = None) -> DataFrame:
+    """(qid, rank, doc_id, score): all documents ranked by cosine with each query; scores may be negative. Query ids are whole numbers.
+
+    An index with cells is searched in ``n_probe`` of them, by default as many as a recall of 0.95 needs.
+    """
+    folded = fold_in(queries, index, latent)
+    if latent.cells is None:
+        return search_exact(folded, latent.doc_vecs, k, "doc_id", "vec")
+    return search_cells(materialize(folded, "folded"), latent.cells, latent.centroids, k, n_probe, "doc_id", "vec")
 
 
-def search_named(queries: DataFrame, index: Index, latent: LatentIndex, k: int = 10) -> DataFrame:
+def search_named(queries: DataFrame, index: Index, latent: LatentIndex, k: int = 10, n_probe: int | None = None) -> DataFrame:
     """``search_lsi`` where queries and documents have names instead of whole numbers; ties by name."""
     asked = materialize(numbered(queries, "qid", "q_row"), "query_rows")
     named = materialize(numbered(latent.doc_vecs, "doc_id", "d_row"), "doc_rows")
-    vecs = latent.doc_vecs.join(named, "doc_id").select("d_row", "vec")
     folded = fold_in(queries.join(asked, "qid").select(F.col("q_row").alias("qid"), "query"), index, latent)
-    out = search_exact(folded, vecs, k, "d_row", "vec").withColumnRenamed("qid", "q_row").join(asked, "q_row").join(named, "d_row")
+    if latent.cells is None:
+        found = search_exact(folded, latent.doc_vecs.join(named, "doc_id").select("d_row", "vec"), k, "d_row", "vec")
+    else:
+        found = search_cells(materialize(folded, "folded"), latent.cells.join(named, "doc_id").select("d_row", "vec", "cell"), latent.centroids, k, n_probe, "d_row", "vec")
+    out = found.withColumnRenamed("qid", "q_row").join(asked, "q_row").join(named, "d_row")
     return out.select("qid", "rank", "doc_id", "score")

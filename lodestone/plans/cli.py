@@ -18,6 +18,8 @@ from ..operators import compression, evaluation, lsi, retrieval
 from ..operators.index import Index, build_index, numbered
 from ..sources.collection import as_queries, read_collection, read_evaluation_queries, read_qrels, read_queries, with_document_numbers
 
+#: Fixed value: documents up to which latent vectors are searched exactly.
+FLAT_DOCS = 50_000
 MODES, METHODS = ("bsbi", "spimi"), ("tfidf", "bm25", "wand", "lsi")
 
 
@@ -41,8 +43,10 @@ def build(spark: SparkSession, args: argparse.Namespace) -> Index:
 
 
 def build_latent(spark: SparkSession, args: argparse.Namespace) -> None:
-    algorithm = {"randomized": "auto", "arpack": "arpack"}[args.svd_algorithm]
-    lsi.build_lsi(Index.load(spark, _path(args)), args.n_components, algorithm).save(f"{_path(args)}/lsi")
+    latent = lsi.build_lsi(Index.load(spark, _path(args)), args.n_components, args.svd_algorithm)
+    if latent.doc_vecs.count() > FLAT_DOCS:
+        latent = latent.with_cells()
+    latent.save(f"{_path(args)}/lsi")
 
 
 def results_of(spark: SparkSession, args: argparse.Namespace, method: str, queries: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def results_of(spark: SparkSession, args: argparse.Namespace, method: str, queri
         return retrieval.search_bm25(queries, index, args.k, args.bm25_k1, args.bm25_b)
     if method == "wand":
         return retrieval.search_wand(queries, index, args.k, args.bm25_k1, args.bm25_b)
-    return lsi.search_named(queries, index, lsi.LatentIndex.load(spark, f"{_path(args)}/lsi"), args.k)
+    return lsi.search_named(queries, index, lsi.LatentIndex.load(spark, f"{_path(args)}/lsi"), args.k, getattr(args, "n_probe", None))
 
 
 def sizes(index: Index) -> DataFrame:

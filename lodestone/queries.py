@@ -16,7 +16,8 @@ from .functions.codecs import bit_length, gamma_string
 from .functions.text import WHITE_SPACE, document_number, query_id, query_text, tokens
 from .operators import compression, evaluation, lsi, retrieval, vector, vocabulary
 from .operators.index import Index, block_postings, build_index, count_postings, gap_rows, merge_full_outer, merge_runs, postings_arrays, token_rows
-from .shared import materialize
+from .shared import materialize, shared_path
+from .sources import collection
 
 PREFIX, TERM, ABSENT = "ent", "the", "no-such-term"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,24 @@ def search_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.search_wand(queries_of(spark, sf_dir), index_of(spark, sf_dir)), "score")
 
 
+@query(_search(_scored(_bm25(), "qd")))
+def search_wand_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by bounds: documents that cannot reach a query's k best are not scored."""
+    return rounded(retrieval.search_wand(queries_of(spark, sf_dir), index_of(spark, sf_dir), prune=True), "score")
+
+
+@query(_search(_scored(_bm25())))
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that was saved, in ranges of terms, and opened again."""
+
+    def stored() -> Index:
+        path = shared_path(spark, "saved")
+        index_of(spark, sf_dir).save(path)
+        return Index.load(spark, path)
+
+    return rounded(retrieval.search_bm25(queries_of(spark, sf_dir), _once(spark, sf_dir, "saved", stored)), "score")
+
+
 _LINES = [("r1", f"{TERM} {TERM} of {TERM}"), ("r2", f"{TERM} of"), ("r3", "de de la"), ("u1", f"{ABSENT} {TERM}"), ("u2", ABSENT), ("u3", "")]
 _GIVEN = ", ".join(f"('{a}', '{b}')" for a, b in _LINES)
 _LINE_QUERY = _STATS + f", g(qid, query) AS (VALUES {_GIVEN}), gt AS (SELECT qid, unnest({_split('query')}) AS term FROM g), q AS (SELECT qid, term, count(*) AS qtf FROM gt GROUP BY ALL)"
@@ -323,8 +342,8 @@ def gap_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POST} SELECT term, doc_id FROM post")
 def gap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids back from gaps."""
-    return compression.from_gaps(gap_rows(index_of(spark, sf_dir).postings))
+    """Ids back from stored lists of gaps, which hold no ids."""
+    return compression.from_gaps(materialize(compression.gap_lists(index_of(spark, sf_dir).postings), "gaps"))
 
 
 @query(_sizes("64", "64"))
@@ -448,6 +467,13 @@ def ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.ndcg(_ranking(spark, sf_dir)), "ndcg")
 
 
+@query(f"""WITH {_RANK}, x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS place FROM r),
+y AS (SELECT qid, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg, sum(CASE WHEN place <= 10 THEN rel / log2(place + 1.0::DOUBLE) ELSE 0 END) AS best FROM x GROUP BY qid)
+SELECT qid, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg FROM y""")
+def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.ndcg(_ranking(spark, sf_dir), 10), "ndcg")
+
+
 @query(f"{_EACH} SELECT qid, round(ap, 6) AS ap FROM r_m")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.average_precision(_ranking(spark, sf_dir)), "ap")
@@ -507,6 +533,37 @@ def docno_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in _PATHS], "path string").select("path", document_number("path").alias("docno"))
 
 
+def _text_file(spark: SparkSession, name: str, lines: DataFrame) -> str:
+    """One column of lines written as text files in the shared folder."""
+    path = shared_path(spark, name)
+    lines.write.text(path)
+    return path
+
+
+@query(f"""WITH w AS (SELECT item_id, {_split('text')} AS w FROM benchmark), l AS (SELECT CASE WHEN item_id % 3 = 0 THEN w ELSE list_concat(['Q' || item_id], w) END AS w FROM w)
+SELECT CASE WHEN len(w) >= 2 AND starts_with(w[1], 'Q') THEN w[1] ELSE '*' END AS qid,
+  array_to_string(CASE WHEN len(w) >= 2 AND starts_with(w[1], 'Q') THEN w[2:] ELSE w END, ' ') AS query FROM l WHERE len(w) > 0""")
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query file of all benchmark items, two thirds with ids, written and read."""
+    line = F.array_join(tokens("text"), " ")
+    lines = table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 3 == 0, line).otherwise(F.concat(F.lit("Q"), "item_id", F.lit(" "), line)))
+    return collection.read_queries(spark, _text_file(spark, "queries", lines))
+
+
+@query(f"WITH w AS (SELECT item_id, {_split('text')} AS w FROM benchmark) SELECT 'Q' || item_id AS qid, array_to_string(w, ' ') AS query FROM w")
+def evaluation_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation query file of all benchmark items, written and read."""
+    lines = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Q"), "item_id", F.lit("  "), F.array_join(tokens("text"), " ")))
+    return collection.read_evaluation_queries(spark, _text_file(spark, "queries", lines))
+
+
+@query(f"WITH {_QRELS} SELECT 'Q' || qid AS qid, CAST(doc_id AS INTEGER) AS docno, 1 AS rel FROM qrels")
+def qrels_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judgement file of all relevant pairs, written and read."""
+    lines = qrels_of(spark, sf_dir).select(F.concat(F.lit("Q"), "qid", F.lit(" "), "doc_id"))
+    return collection.read_qrels(spark, _text_file(spark, "qrels", lines))
+
+
 # Vectors
 
 
@@ -536,14 +593,3 @@ def vector_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _vector_queries(spark, sf_dir)
     n_probe = _once(spark, sf_dir, "n_probe", lambda: vector.probes_for(queries, cells, centroids))
     return rounded(vector.search_cells(queries, cells, centroids, n_probe=n_probe), "score")
-
-
-def stored_index(spark: SparkSession, sf_dir: str, path: str) -> Index:
-    """The collection's index saved at ``path`` and loaded again."""
-    index_of(spark, sf_dir).save(path)
-    return Index.load(spark, path)
-
-
-def materialized_results(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A query's rows, written once to the shared folder."""
-    return materialize(QUERIES[name](spark, sf_dir), name)

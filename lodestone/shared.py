@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder of the session."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary folder of the session if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         session = spark.sparkContext.applicationId
         if session not in _OWN:
             _OWN[session] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -30,10 +32,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: later stages start from replicated files."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a path of the shared folder."""
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if there is one."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -246,6 +246,13 @@ def test_lsi(spark, corpus, tmp_path, algorithm):
     v = vt[:6].T
     want = (m @ v) @ (q @ v) / np.linalg.norm(m @ v, axis=1) / np.linalg.norm(q @ v)
     assert len(got) == 90 and np.allclose([got[i] for i in range(90)], want, atol=0.02)
+    celled = latent.with_cells(6)
+    celled.save(str(tmp_path / f"{algorithm}-cells"))
+    celled = lsi.LatentIndex.load(spark, str(tmp_path / f"{algorithm}-cells"))
+    near = {r.doc_id: r.score for r in lsi.search_lsi(queries, index, celled, 10).collect()}
+    best = sorted(got, key=lambda i: (-round(got[i], 9), i))[:10]
+    assert len(near) == 10 and len(set(near) & set(best)) >= 9 and all(np.isclose(near[i], got[i], atol=1e-6) for i in near)
+    assert {r.doc_id for r in lsi.search_lsi(queries, index, celled, 10, n_probe=6).collect()} == set(best)
     named = lsi.search_named(queries.withColumn("qid", F.concat(F.lit("Q"), "qid")), index, latent, 3).orderBy("rank").collect()
     assert [r.doc_id for r in named] == sorted(got, key=lambda i: (-round(got[i], 9), i))[:3]
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +77,26 @@ def test_unknown_codec():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 1 << 40)))
-def test_gamma_bytes(values):
-    assert codecs._gamma_numbers(codecs._gamma_bytes(values)) == values
+@given(st.lists(st.lists(st.integers(1, 1 << 40), max_size=40), max_size=6))
+def test_gamma_and_vb_batches(lists):
+    edge = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+    values = np.array([v for x in lists for v in x], np.int64)
+    data, cut = codecs._gamma_bytes(values, edge)
+    for k, x in enumerate(lists):
+        bits = "".join("0" * (v.bit_length() - 1) + f"{v:b}" for v in x)
+        assert "".join(f"{b:08b}" for b in data[cut[k] : cut[k + 1]]) == bits.ljust(-(-len(bits) // 8) * 8, "0")
+    out, back = codecs._gamma_numbers(data, cut)
+    assert out.tolist() == values.tolist() and back.tolist() == edge.tolist()
+    raw = [b"".join(bytes([v >> 7 * i & 127 | (128 if not i else 0) for i in range((v.bit_length() - 1) // 7, -1, -1)]) for v in x) for x in lists]
+    cut = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+    out, back = codecs._vb_numbers(np.frombuffer(b"".join(raw), np.uint8), cut)
+    assert out.tolist() == values.tolist() and back.tolist() == edge.tolist()
+
+
+def test_null_and_empty_lists(spark):
+    lists = [None, [1, 5], [], None, [3]]
+    for own in codecs.CODECS.values():
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<bigint>").coalesce(1)
+        stored = rows.select("i", own.encode(F.col("v")).alias("p"), own.encode_tf(F.col("v")).alias("q")).cache()
+        back = stored.select("i", own.decode(F.col("p")).alias("d"), own.decode_tf(F.col("q")).alias("t")).orderBy("i").collect()
+        assert [r.d for r in back] == lists and [r.t for r in back] == lists
