@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import discard, materialize
 
 
-def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Links every kept neighbour of ``u`` to the least of ``u`` and its neighbours.
+def _star(pairs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """The table of least ids, and pairs that link every kept neighbour of ``u`` to the least of ``u`` and its neighbours.
 
     The least ids are a table of their own, so the join's exchanges hold nothing but its sides, and those of a hot ``u`` can be split.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     least = materialize(least, "least")
-    return pairs.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return least, pairs.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -32,10 +32,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        large = _star(both, F.col("v") > F.col("u")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _star(down, F.col("v") > F.col("m")).union(down.groupBy("u").agg(F.min("v")))
-        e = materialize(small.distinct(), "links")
+        first, large = _star(both, F.col("v") > F.col("u"))
+        down = large.distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
+        second, small = _star(down, F.col("v") > F.col("m"))
+        new = materialize(small.union(down.groupBy("u").agg(F.min("v"))).distinct(), "links")
+        # the round's tables are in the new one
+        discard(first, second, e)
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
