@@ -82,6 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op4_warc_captures": warc.ORACLE, "op6_chat_formatting": chat.ORACLE, "op8_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": suffix_dedup.ORACLE, "op4_warc_captures": warc.ORACLE, "op6_chat_formatting": chat.ORACLE, "op8_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

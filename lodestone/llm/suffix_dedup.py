@@ -552,3 +552,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     columns_of = docs.columns
     return joined.mapInArrow(run, schema)
+
+
+#: The rule of ``removal_digest`` in DuckDB, over the hexadecimal digits of the texts: every window of 100 bytes against all others.
+ORACLE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+cut AS (SELECT doc_id, q, substr(x, 2 * q + 1, 2198) AS piece FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99, 1000)) AS q FROM b)),
+w AS (SELECT doc_id, q + o AS p, substr(piece, 2 * o + 1, 200) AS g FROM (SELECT doc_id, q, piece, unnest(range(0, least(1000, length(piece) // 2 - 99))) AS o FROM cut)),
+late AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+isl AS (SELECT doc_id, p, count(*) FILTER (prev IS NULL OR p > prev + 100) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM late)),
+r AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM isl GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a, s AS z FROM r UNION ALL SELECT doc_id, max(e), NULL FROM r GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(z, length(x) // 2) - a)), '' ORDER BY a) AS y FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -149,3 +149,16 @@ def test_splitters():
     for h in set(range(9)) - set(cuts.cut.tolist()):
         whole = {(tuple(x[:2]), b) for x, b in zip(rows.tolist(), bucket.tolist()) if x[1] == h}
         assert len(whole) == len({k for k, _ in whole})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sql_as_brute_force(seed):
+    import duckdb
+
+    texts = {i: t for i, t in made(seed) if i is not None}
+    rows = [*texts.items(), (10**9, None), (10**9 + 1, "é" * 400), (10**9 + 2, ""), (10**9 + 3, "x" * 2500)]
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        found = db.execute(f"SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM ({sd.ORACLE})").fetchall()
+    assert rank(found) == rank(brute(rows))
