@@ -52,7 +52,7 @@ def fingerprint_block(rows: list[bytes], size: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp long) for every row of ``docs``."""
+    """(id, fp long, deal int) for every row of ``docs``; ``deal`` numbers the rows of a batch, so that equal rows can be dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,9 +60,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.zeros(len(rows), np.uint64)
             for lo, hi in tb.blocks(rows):
                 out[lo:hi] = fingerprint_block(rows[lo:hi], size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), pa.array(np.arange(len(rows), dtype=np.int32))], ["id", "fp", "deal"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, deal int")
 
 
 def _block_keys(radius: int) -> list:
@@ -173,6 +173,21 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _dealt_join(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the ``component`` of their fingerprint; the rows of a fingerprint that has more than an even share of a task are dealt over several.
+
+    At most as many fingerprints as shuffle partitions are above an even share, so the list of them may be broadcast, and they take at most
+    twice as many copies of their class.
+    """
+    share = max(1, rows.count() // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = rows.groupBy("fp").count().where(F.col("count") > share).select("fp", F.ceil(F.col("count") / share).cast("int").alias("parts"))
+    hot = F.broadcast(materialize(hot, "hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(hot, "fp", "left").select("id", "fp", F.pmod(F.xxhash64("deal"), parts).cast("int").alias("part"))
+    copies = classes.join(hot, "fp", "left").select("fp", "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(copies, ["fp", "part"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
@@ -187,5 +202,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     stars = connected_components(links(nodes, radius))
     classes = labelled(nodes.select(F.col("fp").alias("node"), "least"), stars)
-    named = rows.join(classes, rows.fp == classes.node)
+    named = _dealt_join(rows, classes.withColumnRenamed("node", "fp"))
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

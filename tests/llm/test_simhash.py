@@ -87,3 +87,9 @@ def test_components_of_a_long_chain(spark):
 def test_merge_labels():
     label = simhash.merge_labels(np.arange(6), np.array([5, 3, 1]), np.array([3, 1, 0]))
     assert label.tolist() == [0, 0, 2, 0, 4, 0]
+
+
+def test_hot_fingerprint_is_dealt_out(spark):
+    hot = "one text that stands in most rows of the table and in many tasks"
+    rows = [(i if i % 5 else None, hot) for i in range(400)] + [(1000 + i, f"text {i} of its own " * 3) for i in range(40)] + [(2000, None), (2001, ""), (None, " ")]
+    assert got(spark, rows) == expected(rows)
