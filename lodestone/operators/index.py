@@ -1,7 +1,8 @@
 """Inverted-index relations.
 
 ``postings(term, doc_id, tf)`` is the index; ``term_stats(term, df, max_tf)``, ``doc_stats(doc_id, dl)`` and the one row
-``collection(n, avgdl)`` are aggregates of it. Partial aggregation before the exchange is what block-wise building and merging come to.
+``collection(n, avgdl)`` are aggregates of it. ``impacts`` are the postings with the length of their document, so that a search
+needs no join by document; a stored index holds them in ranges of terms. Partial aggregation before the exchange is what block-wise building and merging come to.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..shared import materialize
+from ..shared import discard, materialize
 
 #: Ids of one block of a postings list where lists are cut (arrays, gaps): 2 to this power.
 BLOCK_BITS = 16
@@ -65,6 +66,17 @@ def collection_statistics(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
+def with_lengths(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl); a null id is a document like any other."""
+    lengths = doc_stats.select(F.col("doc_id").alias("_doc"), "dl")
+    return postings.join(lengths, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("term", "doc_id", "tf", "dl")
+
+
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows in sorted ranges of (term, doc_id): a term's are neighbours, those of a hot term in several partitions."""
+    return rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def gap_rows(postings: DataFrame) -> DataFrame:
     """(term, doc_id, tf, gap): the difference from the term's previous id, the id itself for the first.
 
@@ -111,23 +123,25 @@ class Index:
     term_stats: DataFrame
     doc_stats: DataFrame
     collection: DataFrame
+    impacts: DataFrame
 
     @classmethod
     def of(cls, postings: DataFrame) -> Index:
         docs = doc_statistics(postings)
-        return cls(postings, term_statistics(postings), docs, collection_statistics(docs))
+        return cls(postings, term_statistics(postings), docs, collection_statistics(docs), with_lengths(postings, docs))
 
     def save(self, path: str) -> None:
-        """One Parquet table for each relation; postings in ranges of terms, so a lookup reads few row groups."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = Index.of(self.postings.sparkSession.read.parquet(f"{path}/postings"))
-        stored.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        stored.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        stored.collection.coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
+        """One Parquet table for each relation, postings with lengths in ranges of terms, so a lookup reads few row groups."""
+        in_ranges(self.impacts).write.mode("overwrite").parquet(f"{path}/impacts")
+        stored = self.impacts.sparkSession.read.parquet(f"{path}/impacts")
+        term_statistics(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        self.collection.coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "term_stats", "doc_stats", "collection")))
+        terms, docs, collection, impacts = (spark.read.parquet(f"{path}/{name}") for name in ("term_stats", "doc_stats", "collection", "impacts"))
+        return cls(impacts.select("term", "doc_id", "tf"), terms, docs, collection, impacts)
 
     def lookup(self, term: str) -> DataFrame:
         """The postings of a term; none for a term that no document has."""
@@ -153,6 +167,8 @@ def build_index(docs: DataFrame, mode: str = "spimi", block_col: str | None = No
         postings = count_postings(token_rows(docs, id_col, text_col))
     if not stored:
         return Index.of(postings)
-    index = Index.of(materialize(postings, "postings"))
-    docs = materialize(index.doc_stats, "doc_stats")
-    return Index(index.postings, materialize(index.term_stats, "term_stats"), docs, materialize(collection_statistics(docs), "collection"))
+    counted = materialize(postings, "postings")
+    docs = materialize(doc_statistics(counted), "doc_stats")
+    impacts = materialize(in_ranges(with_lengths(counted, docs)), "impacts")
+    discard(counted)
+    return Index(impacts.select("term", "doc_id", "tf"), materialize(term_statistics(impacts), "term_stats"), docs, materialize(collection_statistics(docs), "collection"), impacts)
