@@ -1,8 +1,7 @@
 """Temperature mixing of sources, in DataFrame operations only.
 
 Source shares p are raised to an exponent a in [0, 1] and normalised. Entropy falls and the need to repeat small sources
-shrinks as a grows, so both conditions are met by section search on a grid that is refined 64-fold three times (eighteen
-halvings). The weights are realised as a budgeted block permutation: in every epoch a source's documents are shuffled by a
+shrinks as a grows, so both conditions are met by bisecting the exponent, eighteen halvings deep. The weights are realised as a budgeted block permutation: in every epoch a source's documents are shuffled by a
 keyed hash, its stream stops at its token budget, and the stream is laid evenly over the blocks, so every block holds
 the target mixture.
 
@@ -25,7 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Parameters of the registered query and of the pipeline: entropy as a share of the largest possible, repeats of a
 #: source, output tokens as a share of the input's, tokens of a block.
 ENTROPY, REPEATS, BUDGET, BLOCK_TOKENS, SEED = 0.97, 4.0, 1.0, 100_000, 17
-SECTIONS, ROUNDS = 64, 3
+#: Binary places of the exponent.
+BITS = 18
+#: Budgets that are whole but for the last digits of a sum are whole, in whatever order it was added.
+ROUNDED_UP = 1 + 1e-12
 #: Shares of a source's documents.
 SALTS = 64
 
@@ -41,31 +43,28 @@ def source_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str,
 def exponent(totals: DataFrame, entropy: float, repeats: float, budget: float) -> float:
     """The largest exponent whose entropy reaches ``entropy``, or the smallest that repeats no source more than ``repeats`` times, whichever is larger.
 
-    ``totals`` (source, n > 0). Entropy is a share of the log of the number of sources. Each round is one aggregate of
-    ``2 * (SECTIONS + 1)`` rows. No exponent up to 1 that keeps the limit: 1.
+    ``totals`` (source, n > 0). Entropy is a share of the log of the number of sources. Both exponents are bisected at once, in
+    multiples of 2**-BITS: a round is one aggregate of ``totals`` to two booleans. No exponent up to 1 that keeps the limit: 1.
     """
     total, sources = totals.agg(F.sum("n"), F.count("*")).first()
     if not sources:
         return 1.0
     shares = totals.select("n", F.ln(F.col("n") / F.lit(total)).alias("l"))
-    low, high, step = 0.0, 0.0, 1.0
-    for _ in range(ROUNDS):
-        step /= SECTIONS
-        grid = F.explode(F.sequence(F.lit(0), F.lit(SECTIONS)))
-        each = [shares.select("*", F.lit(kind).alias("kind"), grid.alias("k")).withColumn("a", F.lit(at) + F.col("k") * F.lit(step)) for kind, at in (("h", low), ("r", high))]
-        e = F.exp(F.col("a") * F.col("l"))
-        sums = each[0].union(each[1]).groupBy("kind", "k", "a").agg(F.sum(e).alias("z"), F.sum(e * F.col("l")).alias("y"), F.max(e / F.col("n")).alias("top"))
-        held = sums.select(
-            "kind",
-            "a",
-            (F.ln("z") - F.col("a") * F.col("y") / F.col("z") >= F.lit(entropy * log(sources)) - F.lit(1e-9)).alias("wide"),
-            (F.lit(budget) * F.lit(total) * F.col("top") / F.col("z") <= F.lit(repeats) + F.lit(1e-9)).alias("few"),
-        )
-        found = held.agg(F.max(F.expr("if(kind = 'h' and wide, a, null)")), F.min(F.expr("if(kind = 'r' and few, a, null)"))).first()
-        low = min(1.0 - step, found[0] if found[0] is not None else 0.0) if _ < ROUNDS - 1 else (found[0] or 0.0)
-        # the limit is first kept between the grid point before and this one
-        high = max(0.0, (1.0 if found[1] is None else found[1]) - step) if _ < ROUNDS - 1 else (1.0 if found[1] is None else found[1])
-    return max(low, high)
+    one = 1 << BITS
+    # the entropy is reached up to ``wide``, not from ``narrow`` on; repeats are too many up to ``many``, not from ``few`` on
+    wide, narrow, many, few = 0, one + 1, -1, one
+    while narrow - wide > 1 or few - many > 1:
+        x, y = (wide + narrow) // 2, (many + few) // 2
+        e, d = F.exp(F.lit(x / one) * F.col("l")), F.exp(F.lit(y / one) * F.col("l"))
+        sums = shares.agg(F.sum(e).alias("z"), F.sum(e * F.col("l")).alias("zl"), F.sum(d).alias("w"), F.max(d / F.col("n")).alias("top"))
+        reached = F.ln("z") - F.lit(x / one) * F.col("zl") / F.col("z") >= F.lit(entropy * log(sources)) - F.lit(1e-9)
+        kept = F.lit(budget) * F.lit(total) * F.col("top") / F.col("w") <= F.lit(repeats) + F.lit(1e-9)
+        reached, kept = sums.select(reached, kept).first()
+        if narrow - wide > 1:
+            wide, narrow = (x, narrow) if reached else (wide, x)
+        if few - many > 1:
+            many, few = (many, y) if kept else (y, few)
+    return max(wide, few) / one
 
 
 def mixture(
@@ -81,7 +80,7 @@ def mixture(
 ) -> DataFrame:
     """(block, position, id_col, source, epoch, n_tokens): the mixed order of all documents that the budget takes.
 
-    A source's budget is its weight times ``budget`` times all tokens. Epoch by epoch its documents follow in the order of
+    A source's budget is its weight times ``budget`` times all tokens, in whole tokens. Epoch by epoch its documents follow in the order of
     md5(seed:epoch:id), ties by id and token count; a document is taken if the tokens before it are under the budget. Block
     numbers are the share of the budget before the document, so repeated rows and ids keep their own places. Documents without words
     are taken where they fall and cost nothing; a source without any word is left out, as is everything if no text has
@@ -99,7 +98,7 @@ def _placed(rows: DataFrame, id_col: str, entropy: float, repeats: float, budget
     total = totals.agg(F.sum("n")).first()[0] or 0
     power = totals.withColumn("e", F.exp(F.lit(a) * F.ln(F.col("n") / F.lit(total))))
     norm = power.agg(F.sum("e")).first()[0] or 1.0
-    target = F.floor(F.lit(budget) * F.lit(total) * F.col("e") / F.lit(norm)).cast("long")
+    target = F.floor(F.lit(budget) * F.lit(total) * F.col("e") / F.lit(norm) * F.lit(ROUNDED_UP)).cast("long")
     blocks = max(1, ceil(budget * total / block_tokens))
     plan = power.select("source", "n", target.alias("target"), F.lit(blocks).cast("long").alias("blocks")).where("target > 0")
     epochs = F.explode(F.expr("sequence(0L, cast(ceil(target / n) as long) - 1)"))
@@ -143,6 +142,10 @@ def mixed_documents(
     return plan.join(texts, ["x", "y"]).drop("x", "y").withColumnRenamed(unused(["x", "y"], id_col), id_col)
 
 
+#: The SQL has no loop, so it searches the same multiples by sections: 64 cubed is 2**BITS.
+SECTIONS, ROUNDS = 64, 3
+
+
 def oracle(entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> str:
     """``mixture`` over ``documents`` in DuckDB SQL."""
     rounds, low, high, step = [], "0.0", "0.0", 1.0
@@ -167,7 +170,7 @@ totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM tok GROUP BY s
 base AS (SELECT CAST(sum(n) AS DOUBLE) AS s FROM totals),
 shares AS (SELECT source, n, ln(n / (SELECT s FROM base)) AS l FROM totals),{",".join(rounds)},
 e AS (SELECT source, n, exp((SELECT greatest(low, high) FROM f{ROUNDS - 1}) * l) AS e FROM shares),
-plan AS (SELECT source, n, CAST(floor({budget!r}::DOUBLE * (SELECT s FROM base) * e / (SELECT sum(e) FROM e)) AS BIGINT) AS target,
+plan AS (SELECT source, n, CAST(floor({budget!r}::DOUBLE * (SELECT s FROM base) * e / (SELECT sum(e) FROM e) * {ROUNDED_UP!r}::DOUBLE) AS BIGINT) AS target,
     greatest(1, CAST(ceil({budget!r}::DOUBLE * (SELECT s FROM base) / {block_tokens}) AS BIGINT)) AS blocks FROM e),
 taken AS (SELECT id, source, n_tokens, n, target, blocks, unnest(range(CAST(ceil(target / n) AS BIGINT))) AS epoch
     FROM tok JOIN plan USING (source) WHERE target > 0),

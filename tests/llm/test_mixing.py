@@ -76,3 +76,15 @@ def test_texts_of_null_and_repeated_ids(spark):
     assert out.columns == ["block", "position", "doc_id", "source", "epoch", "n_tokens", "text"]
     got = sorted(((r.doc_id, r.text, r.n_tokens) for r in out.collect()), key=str)
     assert got == sorted([(i, t, len((t or "").split())) for i, t, *_ in rows], key=str)
+
+
+def test_whole_budgets_do_not_lose_a_token(spark):
+    r = random.Random(3)
+    rows = [(i, f"s{i % 20}", "w " * r.randint(90, 110)) for i in range(400)]
+    found = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_tokens=500)
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        want = db.execute(f"SELECT block, position, doc_id, source, epoch, n_tokens FROM ({mixing.oracle(block_tokens=500)})").fetchall()
+    assert len(want) == len(rows)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
