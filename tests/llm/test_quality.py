@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import quality_classifier as qc
 from lodestone.llm import quality_rules as qr
@@ -142,3 +143,69 @@ def test_rules_find_stuttered_words(spark):
     assert not any(out[i].base_failed for i, *_ in odd) and not any(out[i].kept for i, *_ in odd[20:])
     truth = dict(labels)
     assert np.mean([x.kept for i, x in out.items() if truth.get(i)]) > 0.95
+
+
+def test_rules_use_every_labelled_row(spark):
+    # bad texts in capitals stand only past the 6000 labelled rows of least id hash
+    order = [x.id for x in spark.range(7500).orderBy(F.xxhash64("id")).collect()]
+    r = random.Random(6)
+    rows, labels, late = [], [], set(order[6200::2])
+    for i in range(7500):
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9))) for _ in range(r.randint(24, 40))]
+        bad = i not in late and r.random() < 0.05
+        if bad:
+            words = [w + r.choice(["$$$", "###"]) for w in words]
+        text = " ".join(words).capitalize()
+        rows.append((i, text.upper() if i in late else text, None, None))
+        labels.append((i, 0 if bad or i in late else 1))
+    out = {x.doc_id: x.kept for x in qr.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert np.mean([out[i] for i, y in labels if y]) > 0.98
+    assert not any(out[i] for i, y in labels if not y)
+
+
+def test_range_of_all_rows(spark):
+    r = np.random.default_rng(5)
+    table = r.integers(0, 400, (3000, 9)) * r.integers(0, 2, (3000, 9))
+    df = spark.createDataFrame([tuple(map(int, x)) for x in table], ", ".join(f"{x} long" for x in qr._NAMES)).repartition(5)
+    x = np.sort(qr.shares(table), 0)
+    ranks = [0, 7, 8, 1500, 2998, 2999]
+    assert (qr.order_statistics(df, ranks) == x[ranks]).all()
+    usual = qr.Usual.fit(df, 3000)
+    low, high = np.quantile(x, [qr.TAIL, 1 - qr.TAIL], axis=0)
+    more = 10 / 3000 * (high - low)
+    assert np.allclose(usual.low, low - more) and np.allclose(usual.high, high + more)
+    assert not qr.Usual.fit(df.limit(0), 0).beyond(table).any()
+
+
+def test_forest_of_all_rows(spark):
+    r = np.random.default_rng(7)
+    table = r.integers(100, 140, (2000, 9))
+    table[:40, 2] += 500
+    names = ", ".join(f"{x} long" for x in qr._NAMES)
+    df = spark.createDataFrame([(int(k), *map(int, x)) for k, x in zip(r.integers(-(2**62), 2**62, 2000), table)], "key long, " + names)
+    usual = qr.Usual.fit(df.where("n_symbols < 500"), 1960)
+    forest = qr.Forest.fit(df, 2000, usual, trees=16, size=64)
+    assert len(forest.trees) == 16 and forest.size == 125 and forest.depth == 6
+    again = qr.Forest.fit(df.repartition(3), 2000, usual, trees=16, size=64)
+    assert all((a == b).all() for x, y in zip(forest.trees, again.trees) for a, b in zip(x, y))
+    s = forest.scores(usual.beyond(table))
+    assert s[:40].min() > np.quantile(s[40:], 0.99)
+    # a tree of counted rows is the tree of the rows themselves
+    own = np.repeat(np.eye(3), [5, 1, 2], axis=0)
+    plain = qr.Forest.grow(own, np.ones(8, np.int64), 4, np.random.default_rng(1))
+    counted = qr.Forest.grow(np.eye(3), np.array([5, 1, 2]), 4, np.random.default_rng(1))
+    assert all((a == b).all() for a, b in zip(plain, counted))
+
+
+def test_threshold_of_all_rows(spark):
+    r = np.random.default_rng(3)
+    for n, shift, cost in ((1, 0.1, 0.01), (40, 0.1, 0.01), (3000, 0.15, 0.01), (3000, 0.02, 0.2), (3000, -0.2, 0.05)):
+        good = r.random(n) < 0.8
+        scores = np.round(np.clip(r.normal(0.5 + shift * ~good, 0.05), 0, 1), 9 if n > 2000 else 2)
+        got = qr.calibrate(spark.createDataFrame(list(zip(scores.tolist(), good.tolist())), "score double, good boolean"), cost)
+        if not good.any() or good.all():
+            assert got == np.inf
+            continue
+        most = max(1, int(cost * good.sum()))
+        ways = [t for t in np.unique(scores) if (scores[good] > t).sum() <= most]
+        assert got == max(ways, key=lambda t: (np.mean(scores[~good] > t) - np.mean(scores[good] > t), t))
