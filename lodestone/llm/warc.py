@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize, shared_path
+from ..shared import materialize, shared_path, writers
 from . import textblocks as tb
 
 #: Least payload that is deduplicated.
@@ -34,6 +34,8 @@ LEAST = 1000
 FILE_RECORDS, BLOCK_LINES = 4096, 512
 #: Bytes after which an archive is closed; one longer record makes a longer one.
 FILE_BYTES = 1 << 27
+#: Bytes of pages that a task writes to archives, captures that one sorts into blocks.
+TASK_BYTES, TASK_CAPTURES = 1 << 24, 1 << 15
 #: Copies of the table of repeated payloads that share the joining of one payload.
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
@@ -161,6 +163,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of LEAST bytes or more, that with the largest id is the response and the others revisit it; rows
     that repeat the largest id are responses too. Null ids revisit any other; if all are null, all are responses. Null texts
     and URLs are empty. Records are packed before the one exchange, by digest, that meets each with the largest id of its payload.
+    The tasks that write follow the size of ``pages``, not the partitions of that exchange.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"))
@@ -181,6 +184,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     other = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
     dealt = keyed.join(spread, ["digest", "n", "salt"], "left").select("page_id", "url", "n", "digest", "member", other)
+    dealt = dealt.coalesce(writers(pages.select(id_col, url_col, text_col), TASK_BYTES))
     _write(dealt.mapInArrow(lambda batches: _members(revisits(batches)), "part int, member binary"), path)
 
 
@@ -221,8 +225,9 @@ def write_index(spark: SparkSession, archives: str, path: str) -> None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["first", "file", "at", "size"])
 
     rows = materialize(_files(spark, archives).mapInArrow(captures, _ENTRY), "captures")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
+    n = -(-rows.count() // TASK_CAPTURES)
+    ranges = rows.repartitionByRange(n, "key", "page_id", "file", "at") if n > 1 else rows.coalesce(1)
+    ordered = ranges.sortWithinPartitions("key", "page_id", "file", "at")
     _write(ordered.mapInArrow(lambda batches: _members(blocks(batches)), "part int, member binary"), f"{path}/blocks")
     _files(spark, f"{path}/blocks").mapInArrow(directory, "first string, file string, at long, size long").write.parquet(f"{path}/directory")
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from lodestone.llm import warc
-from lodestone.shared import shared_path
+from lodestone.shared import materialize, shared_path
 
 PAGES = "page_id long, url string, html string, size int"
 
@@ -66,6 +66,26 @@ def test_records_read_back(spark, monkeypatch):
     assert found.lookup("http://absent.example") == []
 
 
+def test_files_follow_bytes(spark, monkeypatch):
+    rows, held = made(), {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("64", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        df = materialize(spark.createDataFrame(rows, PAGES).repartition(64), "pages")
+        archives, index = shared_path(spark, "a"), shared_path(spark, "i")
+        warc.write_archives(df, archives)
+        warc.write_index(spark, archives, index)
+        assert warc._files(spark, archives).count() <= spark.sparkContext.defaultParallelism
+        assert warc._files(spark, f"{index}/blocks").count() == 1
+        # many sorted ranges, too, hold every capture
+        monkeypatch.setattr(warc, "TASK_CAPTURES", 20)
+        monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+        assert sorted((tuple(r) for r in warc.capture_digest(df).collect()), key=str) == expected(rows)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_table(spark):
     assert warc.capture_digest(spark.createDataFrame([], PAGES)).collect() == []
 
