@@ -16,7 +16,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, writers
 from .rowkeys import row_key, unused
 
 #: Words as everywhere in this subpackage.
@@ -30,6 +30,8 @@ BITS = 18
 ROUNDED_UP = 1 + 1e-12
 #: Shares of a source's documents.
 SALTS = 64
+#: Bytes of documents whose token counts make a file.
+COUNTED = 1 << 30
 
 
 def source_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str, keyed: bool = False) -> DataFrame:
@@ -133,9 +135,11 @@ def mixed_documents(
 ) -> DataFrame:
     """``mixture`` with the text of each row as ``text``, one row for each place.
 
-    Rows are told apart by id and text, so null and repeated ids keep their own texts.
+    Rows are told apart by id and text, so null and repeated ids keep their own texts. The counts, some 40 bytes a row, are exchanged
+    before they are written, so the tasks that read the texts open no files.
     """
-    rows = materialize(source_tokens(docs, id_col, text_col, source_col, keyed=True), "tokens")
+    counted = source_tokens(docs, id_col, text_col, source_col, keyed=True)
+    rows = materialize(counted.repartition(writers(docs, COUNTED)), "tokens")
     plan = _placed(rows, unused(["x", "y"], id_col), entropy, repeats, budget, block_tokens, seed)
     key = row_key(id_col, text_col)
     texts = docs.select(key["x"].alias("x"), key["y"].alias("y"), F.col(text_col).alias("text")).dropDuplicates(["x", "y"])

@@ -78,6 +78,16 @@ def test_texts_of_null_and_repeated_ids(spark):
     assert got == sorted([(i, t, len((t or "").split())) for i, t, *_ in rows], key=str)
 
 
+def test_counts_of_many_partitions_make_few_files(spark, monkeypatch):
+    made, write = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame(corpus(), DOCS)
+    want = sorted((tuple(r) for r in mixing.mixed_documents(docs.coalesce(1)).collect()), key=str)
+    made.clear()
+    assert sorted((tuple(r) for r in mixing.mixed_documents(docs.repartition(64)).collect()), key=str) == want
+    assert len(made["tokens"].inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 def test_whole_budgets_do_not_lose_a_token(spark):
     r = random.Random(3)
     rows = [(i, f"s{i % 20}", "w " * r.randint(90, 110)) for i in range(400)]
