@@ -1,7 +1,7 @@
 """Integer codecs of postings as columns: encoded sizes, encoded bytes and decoding.
 
-Sizes, gaps and the bytes of standard and variable-byte lists are JVM expressions. What walks along one list with a state (running
-sums, decoding, bit packing) is an Arrow function over all numbers of a batch at once; nothing loops over values. Lists must be ascending, distinct and not negative where they are ids, and at least 1 where they are frequencies.
+Sizes of single numbers are JVM expressions. Whole lists are encoded and decoded by functions over all numbers of a batch at once, as columns (Arrow
+functions) or for ``operators.compression``; nothing loops over values. Lists must be ascending, distinct and not negative where they are ids, and at least 1 where they are frequencies.
 """
 
 from __future__ import annotations
@@ -109,14 +109,17 @@ def gamma_string(v: Column) -> Column:
     return F.concat(F.repeat(F.lit("0"), F.length(bits) - 1), bits)
 
 
-def _join(values: Column, one) -> Column:
-    return F.array_join(F.transform(values, one), "")
+def _narrow(width: int):
+    """Little-endian numbers of ``width`` bytes."""
+    return lambda values, edge: (np.frombuffer(values.astype(f"<{'i' if width == 8 else 'u'}{width}").tobytes(), np.uint8), edge * width)
+
+
+_standard_encode = {w: _arrow(T.BinaryType(), _narrow(w)) for w in (4, 8)}
 
 
 def standard_encode(values: Column, width: int = 8) -> Column:
     """Little-endian numbers of ``width`` bytes, without gaps."""
-    reverse = lambda h: F.array_join(F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(h, i * 2 + 1, F.lit(2))), "")
-    return F.unhex(_join(values, lambda v: reverse(F.lpad(F.hex(v), 2 * width, "0"))))
+    return _standard_encode[width](values)
 
 
 def _wide(width: int):
@@ -131,12 +134,41 @@ def standard_decode(data: Column, width: int = 8) -> Column:
     return _standard_decode[width](data)
 
 
+def gap_numbers(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first number of each row, then the differences."""
+    out = np.diff(values.astype(np.int64), prepend=0)
+    first = edge[:-1][np.diff(edge) > 0]
+    out[first] = values[first]
+    return out, edge
+
+
+def vb_sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes of each variable-byte number."""
+    return -(-_bits(values) // 7)
+
+
+def _vb_bytes(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as base-128 digits, most significant first, 128 added to the last."""
+    size = vb_sizes(values)
+    end = np.append(0, np.cumsum(size))
+    out = np.zeros(end[-1], np.uint8)
+    out[end[1:] - 1] = (values & 127) | 128
+    for k in range(1, int(size.max(initial=1))):
+        long = size > k
+        out[end[1:][long] - 1 - k] = (values[long] >> (7 * k)) & 127
+    return out, end[edge]
+
+
+_vbe_encode_tf = _arrow(T.BinaryType(), _vb_bytes)
+_vbe_encode = _arrow(T.BinaryType(), lambda values, edge: _vb_bytes(*gap_numbers(values, edge)))
+
+
 def vbe_encode_tf(values: Column) -> Column:
-    return F.unhex(_join(values, vb_hex))
+    return _vbe_encode_tf(values)
 
 
 def vbe_encode(ids: Column) -> Column:
-    return vbe_encode_tf(gaps(ids))
+    return _vbe_encode(ids)
 
 
 def _vb_numbers(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +189,11 @@ def vbe_decode_tf(data: Column) -> Column:
     return _vbe_decode_tf(data)
 
 
+_vbe_decode = _arrow(_LIST, lambda data, edge: _running(*_vb_numbers(data, edge)))
+
+
 def vbe_decode(data: Column) -> Column:
-    return sums(vbe_decode_tf(data))
+    return _vbe_decode(data)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -193,13 +228,21 @@ def _gamma_bytes(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
 _gamma_encode = _arrow(T.BinaryType(), _gamma_bytes)
 
 
+def _raised(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gap, edge = gap_numbers(values, edge)
+    return gap + 1, edge
+
+
+_elias_encode = _arrow(T.BinaryType(), lambda values, edge: _gamma_bytes(*_raised(values, edge)))
+
+
 def elias_encode_tf(values: Column) -> Column:
     return _gamma_encode(values)
 
 
 def elias_encode(ids: Column) -> Column:
     """Gaps, each raised by one since ids start at 0."""
-    return elias_encode_tf(F.transform(gaps(ids), lambda v: v + 1))
+    return _elias_encode(ids)
 
 
 def _gamma_numbers(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,13 +281,21 @@ def _gamma_numbers(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
 _gamma_decode = _arrow(_LIST, _gamma_numbers)
 
 
+def _lowered(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raised, edge = _gamma_numbers(data, edge)
+    return _running(raised - 1, edge)
+
+
+_elias_decode = _arrow(_LIST, _lowered)
+
+
 def elias_decode_tf(data: Column) -> Column:
     """Trailing zeros are padding."""
     return _gamma_decode(data)
 
 
 def elias_decode(data: Column) -> Column:
-    return sums(F.transform(_gamma_decode(data), lambda v: v - 1))
+    return _elias_decode(data)
 
 
 @dataclass(frozen=True)
@@ -258,12 +309,23 @@ class Codec:
     #: of a gap (of the first id: the id), and of a frequency
     gap_bits: object
     tf_bits: object
-
-
+    #: the same on the flat numbers, or bytes, of many lists and their edges
+    pack: object
+    unpack: object
+    pack_tf: object
+    unpack_tf: object
+    gap_bits_of: object
+    tf_bits_of: object
+
+
+_FULL = lambda v: np.full(len(v), 64, np.int64)
+_STANDARD = (_narrow(8), _wide(8), _narrow(8), _wide(8), _FULL, _FULL)
+_VBE = (lambda v, e: _vb_bytes(*gap_numbers(v, e)), lambda v, e: _running(*_vb_numbers(v, e)), _vb_bytes, _vb_numbers, lambda v: 8 * vb_sizes(v), lambda v: 8 * vb_sizes(v))
+_ELIAS = (lambda v, e: _gamma_bytes(*_raised(v, e)), _lowered, _gamma_bytes, _gamma_numbers, lambda v: 2 * _bits(v + 1) - 1, lambda v: 2 * _bits(v) - 1)
 CODECS = {
-    "standard": Codec(standard_encode, standard_decode, standard_encode, standard_decode, lambda v: F.lit(64).cast("bigint"), lambda v: F.lit(64).cast("bigint")),
-    "vbe": Codec(vbe_encode, vbe_decode, vbe_encode_tf, vbe_decode_tf, lambda v: 8 * vb_size(v), lambda v: 8 * vb_size(v)),
-    "elias": Codec(elias_encode, elias_decode, elias_encode_tf, elias_decode_tf, lambda v: gamma_bits(v + 1), gamma_bits),
+    "standard": Codec(standard_encode, standard_decode, standard_encode, standard_decode, lambda v: F.lit(64).cast("bigint"), lambda v: F.lit(64).cast("bigint"), *_STANDARD),
+    "vbe": Codec(vbe_encode, vbe_decode, vbe_encode_tf, vbe_decode_tf, lambda v: 8 * vb_size(v), lambda v: 8 * vb_size(v), *_VBE),
+    "elias": Codec(elias_encode, elias_decode, elias_encode_tf, elias_decode_tf, lambda v: gamma_bits(v + 1), gamma_bits, *_ELIAS),
 }
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import scoring
 from .functions.codecs import bit_length, gamma_string
 from .functions.text import WHITE_SPACE, document_number, query_id, query_text, tokens
+from .operators.blocks import counted
 from .operators import compression, evaluation, lsi, retrieval, vector, vocabulary
 from .operators.index import Index, block_postings, build_index, count_postings, gap_rows, merge_full_outer, merge_runs, postings_arrays, token_rows
 from .shared import materialize, shared_path
@@ -117,7 +118,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_POST} SELECT * FROM post")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings."""
-    return count_postings(token_rows(table(spark, sf_dir, "documents")))
+    return counted(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_STATS} SELECT doc_id, dl FROM ds")
@@ -176,7 +177,7 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS (SELECT page_id AS doc_id, unnest({_split('html')}) AS term FROM pages) SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY ALL")
 def pages_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another collection: the markup of pages."""
-    return count_postings(token_rows(table(spark, sf_dir, "pages"), "page_id", "html"))
+    return counted(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query(f"WITH {_TOK} SELECT DISTINCT row_number() OVER (ORDER BY term) - 1 AS term_id, term FROM (SELECT DISTINCT term FROM tok)")
@@ -348,17 +349,17 @@ def gap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sizes("64", "64"))
 def standard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.term_sizes(gap_rows(index_of(spark, sf_dir).postings), "standard")
+    return compression.term_sizes(index_of(spark, sf_dir).postings, "standard")
 
 
 @query(_sizes(_VB.format("gap"), _VB.format("tf")))
 def vbe_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.term_sizes(gap_rows(index_of(spark, sf_dir).postings), "vbe")
+    return compression.term_sizes(index_of(spark, sf_dir).postings, "vbe")
 
 
 @query(_sizes(_GAMMA.format("gap + 1"), _GAMMA.format("tf")))
 def elias_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.term_sizes(gap_rows(index_of(spark, sf_dir).postings), "elias")
+    return compression.term_sizes(index_of(spark, sf_dir).postings, "elias")
 
 
 @query(f"""WITH {_GAPS}, s AS (SELECT term, 8 * count(*) AS sp, 8 * count(*) AS st, sum({_VB.format("gap")}) / 8 AS vp, sum({_VB.format("tf")}) / 8 AS vt,
