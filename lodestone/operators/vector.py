@@ -1,7 +1,7 @@
 """Dense vector search: exact inner-product top-k, and search by clusters.
 
-Queries are a stated set. They are taken in blocks of bounded size; each block meets all vectors as one matrix product per Arrow batch,
-and every batch hands on its ``k`` best per query only. A final ranking merges them.
+Queries are a stated set. They are taken in blocks of bounded size; each block meets all vectors in matrix products of AT_ONCE scores at most,
+and every task hands on its ``k`` best per query only. A final ranking merges them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialize
-from .retrieval import top_k
+from .blocks import runs_of
+from .retrieval import AT_ONCE, Best, top_k
 
 #: Queries that one pass over the vectors answers.
 QUERY_BLOCK = 4096
@@ -49,12 +50,17 @@ def blocks_of(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
 
 
-def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``k`` highest scores of each row, with all that tie with the last to nine decimals."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        return np.nonzero(scores >= least[:, None] - 1e-9)
-    return np.nonzero(np.ones_like(scores, bool))
+def _meet(best: Best, ids: pa.Array, data: np.ndarray, vecs: np.ndarray, q: np.ndarray, v: np.ndarray) -> None:
+    """Some queries with some vectors, a bounded product at a time."""
+    for lo, hi in runs_of(np.full(len(v), len(q)), AT_ONCE):
+        scores = vecs[q] @ data[v[lo:hi]].T
+        a, b = np.nonzero(scores >= best.floor[q, None] - 2e-9)
+        best.add(ids, v[lo + b], q[a], scores[a, b])
+
+
+def _found(best: Best, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for rows in best.rows(["qid", "id", "score"]):
+        yield rows.set_column(0, "qid", pa.array(ids[rows.column(0).to_numpy()]))
 
 
 def search_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -66,11 +72,11 @@ def search_exact(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: st
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, vecs = sent.value
+            best = Best(len(ids), k, in_order=False)
             for batch in batches:
                 if batch.num_rows:
-                    scores = vecs @ matrix(batch.column(1)).T
-                    q, v = best_of(scores, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], ["qid", "id", "score"])
+                    _meet(best, batch.column(0), matrix(batch.column(1)), vecs, np.arange(len(ids)), np.arange(batch.num_rows))
+            yield from _found(best, ids)
 
         part = rows.mapInArrow(run, "qid long, id long, score double")
         found = part if found is None else found.union(part)
@@ -104,32 +110,22 @@ def search_cells(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k:
     wide = F.transform(vec_col, lambda x: x.cast("double"))
     rows = cells.select(F.col(id_col).cast("long").alias("id"), wide.alias("vec"), "cell")
     for ids, vecs in blocks_of(queries.where("vec is not null")):
-        near = np.argsort(-(vecs @ centroids.T), axis=1, kind="stable")[:, :n_probe]
-        sent = cells.sparkSession.sparkContext.broadcast((ids, vecs, near))
-        probed = sorted(set(near.ravel().tolist()))
+        near = np.argsort(-(vecs @ centroids.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+        # the queries of each cell
+        asked = np.argsort(near.ravel(), kind="stable")
+        start = np.searchsorted(near.ravel()[asked], np.arange(len(centroids) + 1))
+        sent = cells.sparkSession.sparkContext.broadcast((ids, vecs, (asked // near.shape[1]).astype(np.int32), start))
+        probed = np.flatnonzero(np.diff(start)).tolist()
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vecs, near = sent.value
+            ids, vecs, asked, start = sent.value
+            best = Best(len(ids), k, in_order=False)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(2).to_numpy()
-                data = matrix(batch.column(1))
-                parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-                for cell in np.unique(own):
-                    q = np.flatnonzero((near == cell).any(1))
-                    v = np.flatnonzero(own == cell)
-                    scores = vecs[q] @ data[v].T
-                    a, b = best_of(scores, k)
-                    parts.append((q[a], v[b], scores[a, b]))
-                # of a query's cells together only the k best leave a batch, with all that tie with the last
-                q, v, score = map(np.concatenate, zip(*parts, strict=True))
-                order = np.lexsort((-score, q))
-                q, v, score = q[order], v[order], score[order]
-                start = np.searchsorted(q, q)
-                last = np.minimum(start + k, np.searchsorted(q, q, "right")) - 1
-                best = score >= score[last] - 1e-9
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[best]]), batch.column(0).take(pa.array(v[best])), pa.array(score[best])], ["qid", "id", "score"])
+                if batch.num_rows:
+                    own, data = batch.column(2).to_numpy(), matrix(batch.column(1))
+                    for cell in np.unique(own):
+                        _meet(best, batch.column(0), data, vecs, asked[start[cell] : start[cell + 1]], np.flatnonzero(own == cell))
+            yield from _found(best, ids)
 
         part = rows.where(F.col("cell").isin(probed)).mapInArrow(run, "qid long, id long, score double")
         found = part if found is None else found.union(part)

@@ -53,10 +53,7 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qrels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, doc_id, rel): documents that have every distinct term of a query."""
-    terms = retrieval.query_terms(queries_of(spark, sf_dir), distinct=True)
-    size = terms.groupBy("qid").agg(F.count("*").alias("size"))
-    have = terms.join(index_of(spark, sf_dir).postings, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("have"))
-    return have.join(size, "qid").where("have = size").select("qid", "doc_id", F.lit(1).alias("rel"))
+    return retrieval.containing(queries_of(spark, sf_dir), index_of(spark, sf_dir)).withColumn("rel", F.lit(1))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
