@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators import blocks, compression, retrieval, vector
+from lodestone.operators import blocks, compression, lsi, retrieval, vector
 from lodestone.operators.index import build_index, gap_rows, postings_arrays
 
 
@@ -142,3 +142,27 @@ def test_a_task_of_vector_search_holds_a_bounded_product():
     for q in (0, 1, 4095):
         score = data @ vecs[q]
         assert [i for p, _, i in got if p == q] == (9999 - np.argsort(-score)[:3]).tolist()
+
+
+def test_the_driver_holds_few_columns_of_the_latent_basis(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"t{i % 6}w{int(x)}" if rng.random() < 0.7 else f"w{int(x)}" for x in rng.integers(0, 25, 60))) for i in range(90)]
+    index = build_index(spark.createDataFrame(texts, "doc_id long, text string"))
+    whole = lsi.build_lsi(index, 6)
+    sent = []
+    slices = lsi._Basis.slices
+
+    def watched(self):
+        for lo, values in slices(self):
+            sent.append(values.size)
+            yield lo, values
+
+    monkeypatch.setattr(lsi._Basis, "slices", watched)
+    # fewer than a basis of 90 rows and 6 columns, which an earlier limit refused
+    monkeypatch.setattr(lsi, "SENT_NUMBERS", 400)
+    cut = lsi.build_lsi(index, 6)
+    assert max(sent) <= 400 and np.allclose(whole.singular, cut.singular, rtol=1e-4)
+    a, b = (np.array([r.vec for r in x.doc_vecs.orderBy("doc_id").collect()]) for x in (whole, cut))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-3)
+    a, b = (np.array([r.vec for r in x.term_vecs.orderBy("term").collect()]) for x in (whole, cut))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-3) and np.allclose(b.T @ b, np.eye(6), atol=1e-3)
